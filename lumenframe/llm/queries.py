@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .jaccard import op3_ngram_jaccard
 from .packing import op6_packing
 from .substring import op10_substring_dedup
 from .token_files import op9_token_files
 
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op6_packing": op6_packing,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
