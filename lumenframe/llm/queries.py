@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from . import licenses
+from .chat import op1_chat_format
 from .jaccard import op3_ngram_jaccard
+from .licenses import op8_license_scan
 from .packing import op6_packing
+from .quality import op5_quality
 from .substring import op10_substring_dedup
 from .token_files import op9_token_files
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_license_scan": licenses.oracle_sql()}
