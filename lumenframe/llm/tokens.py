@@ -9,6 +9,12 @@ import re
 #: Pieces kept by a Python worker; about 250 bytes each. Later pieces are encoded each time they occur.
 CACHE_PIECES = 800_000
 
+#: Latin letters only; for these Python and the tokenizer surely agree on what a letter is.
+_LAST_LATIN = "\u024f"
+#: The visible character of each byte in byte-level vocabularies: itself where printable, else the next from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_VISIBLE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
 _GAP = re.compile(r"\s\s")
 _ODD = re.compile(r"[^\S \n]")
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -33,28 +39,51 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([])
+        for t in (self.tokenizer, self.words):
+            t.encode_special_tokens = True
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)
         self.cache: dict[str, bytes] = {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array.array("I", e.ids).tobytes() for e in found]
+        self.marks = dict(zip(",.", self._ids(self.tokenizer, [",", "."])))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces; one of Latin letters is a single word, and so skips the tokenizer's own cutting."""
+        stems, other, found = {}, [], {}
+        for p in pieces:
+            stem = p[:-1] if p[-1] in ",." else p
+            core = stem[1:] if stem[:1] == " " else stem
+            if core.isalpha() and (core.isascii() or max(core) <= _LAST_LATIN):
+                stems[p] = stem
+            else:
+                other.append(p)
+        words = [s for s in dict.fromkeys(stems.values()) if s not in self.cache]
+        found |= zip(words, self._ids(self.words, [w.replace(" ", _VISIBLE[32]) if w.isascii() else w.encode().decode("latin-1").translate(_VISIBLE) for w in words]))
+        found |= zip(other, self._ids(self.tokenizer, other))
+        for p, stem in stems.items():
+            if p is not stem and p != stem:
+                found[p] = (found.get(stem) or self.cache[stem]) + self.marks[p[-1]]
+        return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if "\x00" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text) or (not text.isascii() and _GAP.search(text)):
-            return self._ids([text])[0]
+            return self._ids(self.tokenizer, [text])[0]
         pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, pieces))
         except KeyError:
             new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        fresh = dict(zip(new, self._ids(new)))
+        fresh = self._fresh(new)
         if len(cache) + len(fresh) <= CACHE_PIECES:
             cache.update(fresh)
             return b"".join(map(cache.__getitem__, pieces))
