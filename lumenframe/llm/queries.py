@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import licenses
 from .chat import op1_chat_format
+from .embeddings import op7_embedding_dedup
 from .jaccard import op3_ngram_jaccard
 from .licenses import op8_license_scan
 from .packing import op6_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
