@@ -218,6 +218,19 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
 
 
+def keep_below(docs: DataFrame, model: Model, least: float, *, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose score is least or more; scored where they are read, without a join."""
+    ship(docs.sparkSession)
+    schema, at = docs.schema, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            odds = [model.slope * evidence(t.as_py() or "", model)[0] + model.bias for t in b.column(at)]
+            yield b.filter(pa.array([1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) < least for x in odds], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
