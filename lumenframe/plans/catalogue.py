@@ -1,6 +1,8 @@
-"""The registered queries and their SQL."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import programs, relational, statistics  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

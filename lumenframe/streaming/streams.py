@@ -14,7 +14,11 @@ TIMEOUTS = {"none": GroupStateTimeout.NoTimeout, "processing_time": GroupStateTi
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """Files as they come. A path of one file is read through its folder, as file streams need."""
     reader = spark.readStream.schema(schema).format(fmt)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(at):
+        path, reader = at.getParent().toString(), reader.option("pathGlobFilter", at.getName())
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path)
