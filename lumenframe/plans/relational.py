@@ -233,10 +233,10 @@ def q_join_theta(t: Tables) -> DataFrame:
     return joins.join(t.supplier, t.nation, on=(F.col("s_nationkey") < F.col("n_nationkey")) & (F.col("s_acctbal") > F.col("n_nationkey") * 100)).select("s_suppkey", "n_nationkey")
 
 
-@query("SELECT p_partkey, lo FROM part JOIN (SELECT range * 100.0 AS lo, range * 100.0 + 150.0 AS hi FROM range(0, 40)) ON p_retailprice >= lo AND p_retailprice < hi")
+@query("SELECT p_partkey, CAST(lo AS DOUBLE) AS lo FROM part JOIN (SELECT range * 100.0 AS lo, range * 100.0 + 150.0 AS hi FROM range(0, 40)) ON p_retailprice >= lo AND p_retailprice < hi")
 def q_join_interval(t: Tables) -> DataFrame:
     spans = t.spark.range(40).select((F.col("id") * F.lit(100.0)).alias("lo"), (F.col("id") * F.lit(100.0) + 150.0).alias("hi"))
-    return joins.interval_join(t.part, spans, point="p_retailprice", start="lo", end="hi", width=150.0).select("p_partkey", F.col("lo").cast("decimal(11,1)").alias("lo"))
+    return joins.interval_join(t.part, spans, point="p_retailprice", start="lo", end="hi", width=150.0).select("p_partkey", "lo")
 
 
 _BUYS = "(SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)"
@@ -333,7 +333,7 @@ def q_pivot(t: Tables) -> DataFrame:
     return out.select("o_orderpriority", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("done", F.lit(0)).alias("done"))
 
 
-@query("SELECT l_linenumber, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS af, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS no FROM lineitem GROUP BY l_linenumber")
+@query("SELECT l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS BIGINT) AS af, CAST(sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS BIGINT) AS no FROM lineitem GROUP BY l_linenumber")
 def q_pivot_multi(t: Tables) -> DataFrame:
     return reshape.pivot(t.lineitem, ["l_linenumber"], ["l_returnflag", "l_linestatus"], {"af": ("A", "F"), "no": ("N", "O")}, F.sum(F.col("l_quantity").cast("bigint")))
 

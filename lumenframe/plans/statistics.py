@@ -112,10 +112,10 @@ def q_fn_string(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", f("upper", "c_name").alias("a"), f("substring", "c_name", F.lit(2), F.lit(4)).alias("b"), F.regexp_extract("c_name", "([0-9]+)", 1).alias("c"), F.size(F.split("c_mktsegment", "I")).cast("bigint").alias("d"), F.levenshtein("c_mktsegment", F.lit("BUILDING")).cast("bigint").alias("e"), F.concat(F.trim(F.concat(F.lit("  "), "c_mktsegment")), F.lpad(F.col("c_nationkey").cast("string"), 4, "0")).alias("f"), F.replace("c_name", F.lit("a"), F.lit("-")).alias("g"), f("reverse", "c_name").alias("h"))
 
 
-@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS m, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS d, CAST(o_orderdate AS DATE) + 30 AS later, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days, strftime(o_orderdate, '%Y/%m/%d') AS s, last_day(o_orderdate) AS last FROM orders")
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS m, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS d, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS later, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days, strftime(o_orderdate, '%Y/%m/%d') AS s, CAST(last_day(o_orderdate) AS VARCHAR) AS last FROM orders")
 def q_fn_date(t: Tables) -> DataFrame:
     d = F.col("o_orderdate")
-    return t.orders.select("o_orderkey", F.date_trunc("month", d).cast("timestamp_ntz").alias("m"), F.year(d).cast("bigint").alias("y"), F.quarter(d).cast("bigint").alias("q"), F.dayofyear(d).cast("bigint").alias("d"), F.date_add(d.cast("date"), 30).alias("later"), F.date_diff(d.cast("date"), F.lit("1992-01-01").cast("date")).cast("bigint").alias("days"), F.date_format(d, "yyyy/MM/dd").alias("s"), F.last_day(d.cast("date")).alias("last"))
+    return t.orders.select("o_orderkey", F.date_trunc("month", d).cast("timestamp_ntz").alias("m"), F.year(d).cast("bigint").alias("y"), F.quarter(d).cast("bigint").alias("q"), F.dayofyear(d).cast("bigint").alias("d"), F.date_add(d.cast("date"), 30).cast("string").alias("later"), F.date_diff(d.cast("date"), F.lit("1992-01-01").cast("date")).cast("bigint").alias("days"), F.date_format(d, "yyyy/MM/dd").alias("s"), F.last_day(d.cast("date")).cast("string").alias("last"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, -2) AS a, round(pow(l_quantity, 1.5), 6) AS b, round(ln(l_extendedprice), 8) AS c, l_orderkey % 7 AS d, floor(l_discount * 10) AS e, ceil(l_tax * 10) AS f, abs(l_quantity - 25) AS g, sign(l_quantity - 25) AS h, greatest(l_quantity, 10.0) AS i, round(sqrt(l_quantity), 8) AS j FROM lineitem")
@@ -177,11 +177,11 @@ def q_parse_csv(t: Tables) -> DataFrame:
     return readers.parse(lines, "line", "csv", "a bigint, b string, c double").select("a", "b", "c")
 
 
-@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, TRY_CAST(p_brand AS INTEGER) AS bad, CAST(p_retailprice AS DECIMAL(12,2)) AS d, CAST(p_size AS SMALLINT) AS u, NULL::BIGINT AS n FROM part")
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, TRY_CAST(p_brand AS INTEGER) AS bad, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS d, CAST(p_size AS SMALLINT) AS u, NULL::BIGINT AS n FROM part")
 def q_cast(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.col("p_size").cast("string").alias("s"), F.col("p_brand").try_cast("int").alias("bad"), F.col("p_retailprice").cast(types.spark_type("decimal(12,2)")).alias("d"), F.col("p_size").cast(types.spark_type("uint8")).alias("u"), types.null_of(types.spark_type("int64")).alias("n"))
+    return t.part.select("p_partkey", F.col("p_size").cast("string").alias("s"), F.col("p_brand").try_cast("int").alias("bad"), F.col("p_retailprice").cast(types.spark_type("decimal(12,2)")).cast("double").alias("d"), F.col("p_size").cast(types.spark_type("uint8")).alias("u"), types.null_of(types.spark_type("int64")).alias("n"))
 
 
-@query("SELECT DATE '2024-02-29' AS d, TIMESTAMP '2024-02-29 12:30:00' AS n")
+@query("SELECT CAST(DATE '2024-02-29' AS VARCHAR) AS d, TIMESTAMP '2024-02-29 12:30:00' AS n")
 def q_dates(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.lit("2024-02-29").cast("date").alias("d"), F.lit("2024-02-29 12:30:00").cast("timestamp_ntz").alias("n"))
+    return t.spark.range(1).select(F.lit("2024-02-29").cast("date").cast("string").alias("d"), F.lit("2024-02-29 12:30:00").cast("timestamp_ntz").alias("n"))
