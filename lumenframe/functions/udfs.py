@@ -34,13 +34,28 @@ def map_partitions(df: DataFrame, fn: Callable, schema: str, *, arrow: bool = Tr
     return df.mapInArrow(fn, schema, barrier=barrier) if arrow else df.mapInPandas(fn, schema, barrier=barrier)
 
 
-def group_map(df: DataFrame, keys: Sequence[str | Column], fn: Callable, schema: str, *, arrow: bool = False) -> DataFrame:
-    grouped = df.groupBy(*keys)
-    return grouped.applyInArrow(fn, schema) if arrow else grouped.applyInPandas(fn, schema)
+def _sorted(fn: Callable, sort_by: Sequence[str], arrow: bool) -> Callable:
+    """fn over the rows of its group in order."""
+    if arrow:
+        return lambda rows: fn(rows.sort_by([(c, "ascending") for c in sort_by]))
+    return lambda rows: fn(rows.sort_values(list(sort_by), ignore_index=True))
 
 
-def cogroup_map(left: DataFrame, left_keys: Sequence[str], right: DataFrame, right_keys: Sequence[str], fn: Callable, schema: str) -> DataFrame:
-    return left.groupBy(*left_keys).cogroup(right.groupBy(*right_keys)).applyInPandas(fn, schema)
+def group_map(df: DataFrame, keys: Sequence[str | Column], fn: Callable, schema: str, *, arrow: bool = False, sort_by: Sequence[str] = ()) -> DataFrame:
+    """fn of each group's rows, in the order of sort_by; a group must fit a task."""
+    grouped, run = df.groupBy(*keys), _sorted(fn, sort_by, arrow) if sort_by else fn
+    return grouped.applyInArrow(run, schema) if arrow else grouped.applyInPandas(run, schema)
+
+
+def cogroup_map(left: DataFrame, left_keys: Sequence[str], right: DataFrame, right_keys: Sequence[str], fn: Callable, schema: str, *, left_sort: Sequence[str] = (), right_sort: Sequence[str] = ()) -> DataFrame:
+    """fn(key, left rows, right rows) for each key of either side, each side's rows in order."""
+
+    def run(key, a, b):
+        a = a.sort_values(list(left_sort), ignore_index=True) if left_sort else a
+        b = b.sort_values(list(right_sort), ignore_index=True) if right_sort else b
+        return fn(key, a, b)
+
+    return left.groupBy(*left_keys).cogroup(right.groupBy(*right_keys)).applyInPandas(run, schema)
 
 
 def register(spark: SparkSession, name: str, fn: Callable, returns: str | None = None) -> None:
@@ -49,3 +64,11 @@ def register(spark: SparkSession, name: str, fn: Callable, returns: str | None =
 
 def register_table_function(spark: SparkSession, name: str, cls) -> None:
     spark.udtf.register(name, cls)
+
+
+def register_java(spark: SparkSession, name: str, class_name: str, returns: str | None = None, *, aggregate: bool = False) -> None:
+    """A function of a class on the class path."""
+    if aggregate:
+        spark.udf.registerJavaUDAF(name, class_name)
+    else:
+        spark.udf.registerJavaFunction(name, class_name, returns)

@@ -241,3 +241,112 @@ def q_view(t: Tables) -> DataFrame:
     name = _table(t, "view")
     commands.Commands(t.spark).create_view(name, t.nation.filter("n_regionkey = 2").select("n_name"))
     return t.spark.table(name)
+
+
+@query("SELECT p_partkey, p_size * 1.5 AS v FROM part")
+def q_pandas_udf_iter(t: Tables) -> DataFrame:
+    from collections.abc import Iterator
+
+    def scale(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b * 1.5
+
+    scale.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return t.part.select("p_partkey", udfs.vectorised(scale, "double")("p_size").alias("v"))
+
+
+@query("SELECT s_suppkey, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS top FROM supplier")
+def q_pandas_window_agg(t: Tables) -> DataFrame:
+    from ..operators.windows import window
+
+    def top(v: pd.Series) -> float:
+        return float(v.max())
+
+    return t.supplier.select("s_suppkey", udfs.vectorised(top, "double")("s_acctbal").over(window(["s_nationkey"])).alias("top"))
+
+
+@query("SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation")
+def q_table_argument(t: Tables) -> DataFrame:
+    class Place:
+        def __init__(self):
+            self.n = 0
+
+        def eval(self, row):
+            self.n += 1
+            yield row["n_nationkey"], row["n_regionkey"], self.n
+
+    place = F.udtf(Place, returnType="n_nationkey int, n_regionkey int, place int")
+    return place(t.nation.asTable().partitionBy("n_regionkey").orderBy("n_nationkey"))
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY o_custkey")
+def q_group_map_sorted(t: Tables) -> DataFrame:
+    def first(rows):
+        import pyarrow as pa
+
+        return pa.table({"o_custkey": rows.column("o_custkey")[:1], "first_order": rows.column("o_orderkey")[:1]})
+
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
+    return udfs.group_map(rows, ["o_custkey"], first, "o_custkey bigint, first_order bigint", arrow=True, sort_by=["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT k, min(c) AS customer, min(s) AS supplier FROM (SELECT c_nationkey AS k, c_custkey AS c, NULL AS s FROM customer UNION ALL SELECT s_nationkey, NULL, s_suppkey FROM supplier) GROUP BY k HAVING min(c) IS NOT NULL AND min(s) IS NOT NULL")
+def q_cogroup_sorted(t: Tables) -> DataFrame:
+    def firsts(key, a, b):
+        rows = [(key[0], a.c_custkey[0], b.s_suppkey[0])] if len(a) and len(b) else []
+        return pd.DataFrame(rows, columns=["k", "customer", "supplier"])
+
+    a, b = t.customer.select("c_nationkey", "c_custkey"), t.supplier.select("s_nationkey", "s_suppkey")
+    return udfs.cogroup_map(a, ["c_nationkey"], b, ["s_nationkey"], firsts, "k int, customer bigint, supplier bigint", left_sort=["c_custkey"], right_sort=["s_suppkey"])
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+def q_lateral_join(t: Tables) -> DataFrame:
+    dear = t.orders.alias("o").where((F.col("o.o_custkey") == F.col("c.c_custkey").outer()) & (F.col("o.o_totalprice") > 250000)).select("o_orderkey")
+    return t.customer.alias("c").lateralJoin(dear).select("c_custkey", "o_orderkey")
+
+
+@query("SELECT event_type, count(*) + 100 AS n FROM events GROUP BY event_type")
+def q_stream_initial_state(t: Tables) -> DataFrame:
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Count(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("n", "n bigint")
+
+        def handleInputRows(self, key, rows, timers):
+            n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(r) for r in rows)
+            self.seen.update((n,))
+            yield pd.DataFrame({"event_type": [key[0]], "n": [n]})
+
+        def handleInitialState(self, key, initial, timers):
+            self.seen.update((int(initial.n.iloc[0]),))
+
+        def close(self):
+            pass
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, streams.ROCKSDB)
+    try:
+        start = t.events.select("event_type").distinct().withColumn("n", F.lit(100).cast("bigint"))
+        rows = streams.with_initial_state(_stream(t).select("event_type", "event_id"), ["event_type"], Count(), "event_type string, n bigint", start)
+        found = streams.run_once(rows, "initial-state", "update")
+    finally:
+        t.spark.conf.set(name, before)
+    return found.groupBy("event_type").agg(F.max_by("n", "_batch").alias("n"))
+
+
+@query("SELECT r_name FROM region")
+def q_insert_directory(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "regions")
+    for _ in range(2):
+        writers.overwrite_directory(t.region.select("r_name"), path, "json")
+    return t.spark.read.schema("r_name string").json(path)
+
+
+@query("SELECT n_name FROM nation WHERE n_nationkey > 20")
+def q_named_relation(t: Tables) -> DataFrame:
+    e = Engine(t.spark)
+    e.remember("nations", t.nation.filter("n_nationkey > 20"))
+    return e.recall("nations").select("n_name")

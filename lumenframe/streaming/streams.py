@@ -45,6 +45,14 @@ def with_state(df: DataFrame, keys: Sequence[str], fn: Callable, output: str, st
     return df.groupBy(*keys).applyInPandasWithState(fn, output, state, mode, TIMEOUTS[timeout])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_initial_state(df: DataFrame, keys: Sequence[str], processor, output: str, initial: DataFrame, mode: str = "update") -> DataFrame:
+    """A stateful processor that starts from rows of known state. The session must use ROCKSDB for its state."""
+    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode=mode, timeMode="None", initialState=initial.groupBy(*keys))
+
+
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its result as a table in the shared folder.
 
