@@ -58,8 +58,13 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, _let(hashes, any_twice)).otherwise(F.lit(0).cast("bigint"))
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A hash that tells rows apart also where ids are null or repeat."""
+    return F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit("")))
+
+
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts that the rules use, over whole texts; a null text counts as empty.
+    """doc_id, row_key and the counts that the rules use, over whole texts; a null text counts as empty.
 
     Words are the runs of bytes other than space and \\t \\n \\v \\f \\r. n_dup_lines: lines with a word that equal
     an earlier one. n_shouts: words that end in two exclamation marks.
@@ -71,6 +76,7 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     long = lambda c: c.cast("bigint")
     return cut.select(
         "doc_id",
+        row_key("doc_id", "text").alias("row_key"),
         long(F.size("words")).alias("n_words"),
         long(F.char_length(F.array_join("words", ""))).alias("word_chars"),
         long(F.char_length("text") - without(r"[#*$%&|<>]+")).alias("n_symbols"),
@@ -156,7 +162,7 @@ def score(found: DataFrame, rules: dict[str, tuple[str, str, str, str]] = RULES)
 
 
 def judge(docs: DataFrame, *, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the measures, the votes, quality, base_failed and kept for every document.
+    """doc_id, row_key, the measures, the votes, quality, base_failed and kept for every document.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated windows of three. kept: not
     base_failed, and quality of at least least. Null, empty and blank texts have no words and fail; rows of one
