@@ -23,13 +23,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that fail the base rules or are more likely bad than good."""
-    return _without(docs, quality.judge(docs).where("not kept").select("doc_id"), "low-quality")
+    bad = quality.judge(docs).where("not kept").select("row_key").distinct()
+    keyed = docs.withColumn("row_key", quality.row_key("doc_id", "text"))
+    return keyed.join(materialize(bad, "low-quality"), "row_key", "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id."""
     found = jaccard.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"), "near-duplicates")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(materialize(copies, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +47,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokens.tokenizer_path())
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without those of these ids, which are written first: Spark then knows their size and how to join."""
-    return docs.join(materialize(ids.distinct(), name), "doc_id", "left_anti").select(docs.columns)
-
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality rules", drop_low_quality),
