@@ -106,8 +106,15 @@ def similar_to(c: Column, pattern: str, *, negated: bool = False, escape: str |
 
 
 def in_subquery(df: DataFrame, column: str, other: DataFrame, negated: bool = False) -> DataFrame:
-    """Rows whose column is (not) among the first column of other; NOT IN keeps no row where other has a NULL."""
+    """Rows whose column is (not) among the first column of other.
+
+    NOT IN keeps every row where other is empty, else none where other has a NULL, and no row with a NULL. It is an
+    equi-join that keeps what does not match and two scalars over other, not a nested loop.
+    """
     key = other.select(F.col(other.columns[0]).alias("_k"))
+    same = F.col(column) == F.col("_k")
     if not negated:
-        return df.join(key.distinct(), F.col(column) == F.col("_k"), "left_semi")
-    return df.join(key.distinct(), F.coalesce(F.col(column) == F.col("_k"), F.lit(True)), "left_anti")
+        return df.join(key, same, "left_semi")
+    empty = key.select(F.count(F.lit(1)) == 0).scalar()
+    known = key.select(F.count_if(F.col("_k").isNull()) == 0).scalar()
+    return df.join(key, same, "left_anti").where(empty | (known & F.col(column).isNotNull()))

@@ -70,6 +70,8 @@ def test_not_in_with_null_keeps_nothing(spark):
     a, b = spark.createDataFrame([(1,), (2,), (None,)], "x int"), spark.createDataFrame([(1,), (None,)], "y int")
     assert predicates.in_subquery(a, "x", b, negated=True).count() == 0
     assert [r.x for r in predicates.in_subquery(a, "x", b).collect()] == [1]
+    assert [r.x for r in predicates.in_subquery(a, "x", b.dropna(), negated=True).collect()] == [2]
+    assert predicates.in_subquery(a, "x", b.limit(0), negated=True).count() == 3
 
 
 def test_asof_ties_nulls_and_buckets(spark):
