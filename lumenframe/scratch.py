@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[tuple[str, str], str] = {}
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_lumenframe_local", None)
-        if base is None:
-            base = spark.sparkContext._lumenframe_local = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-    return f"{base}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    """A new path in this application's folder, which is removed at exit.
+
+    The folder is below spark.checkpoint.dir, as the session has it; below a temporary folder where that is unset, as
+    in tests.
+    """
+    base, app = spark.conf.get("spark.checkpoint.dir", None) or "", spark.sparkContext.applicationId
+    if (base, app) not in _made:
+        _made[base, app] = f"{base or 'file://' + tempfile.mkdtemp(prefix='lumenframe-')}/lumenframe-tables-{app}"
+        atexit.register(_remove, spark, _made[base, app])
+    return f"{_made[base, app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended before; then the cluster's own cleaning has to do it
+        pass
 
 
 def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
