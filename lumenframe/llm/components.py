@@ -18,9 +18,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     sign = None
     while True:
         both = at.union(at.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written first: a join of two tables, of which Spark can split a hub's rows
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         at = materialize(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
