@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_path, written
+
 #: Words are the runs of bytes other than space and \t \n \v \f \r; bytes.split() cuts at the same six.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -20,43 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary folder where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_lumenframe_scratch", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-            spark.sparkContext._lumenframe_scratch = base
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{base}/rdd")
-    path = f"{base}/lumenframe-{spark.sparkContext.applicationId}"
-    known = getattr(spark.sparkContext, "_lumenframe_clean", None)
-    if known != path:
-        spark.sparkContext._lumenframe_clean = path
-        atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone already; the folder is then left to the cluster's own cleaning
-        pass
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share."""
+    return shared_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def ship(spark: SparkSession) -> None:
