@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .windows import Words, count_levels, in_blocks, levels_of, unpack
+from .windows import Words, count_again, count_levels, in_blocks, levels_of, unpack
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,31 +24,54 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     columns of carry under their own names. kept_text joins the kept words by one space; with keep_layout each
     kept run keeps its text as it was, and a document that loses nothing is returned unchanged.
 
-    Rabin-Karp hashes (64 bits, polynomials modulo 2**64 over mixed word hashes) of all windows are counted by
-    Spark in hash buckets; a block of documents has back one byte for each distinct hash it sent, and merges its
-    repeated windows into maximal intervals. Two different windows of a corpus of n count as one with probability
-    of about n**2 / 2**65. Null and empty texts, and those of fewer words than a window, lose nothing (a null text
+    Rabin-Karp hashes (polynomials modulo 2**64 over mixed word hashes) of all windows are counted by Spark in hash
+    buckets, twice: first as few bits as tell most windows apart, then, for windows that seem to repeat, two
+    independent hashes of 64 bits each, so that windows count as equal where 128 bits are. A block of documents has
+    back one byte for each distinct hash it sent, and merges its repeated windows into maximal intervals. Null and
+    empty texts, and those of fewer words than a window, lose nothing (a null text
     counts as empty); a text that repeats its own windows, or is there twice, loses them all; rows with equal or
     null ids stay separate rows.
     """
     blocks, scale = in_blocks(docs, id_col, text_col, carry)
+    shift = np.uint64(64 - scale.bits)
 
-    def hashes(words: Words) -> np.ndarray:
-        return words.windows(window)[0]
+    def texts(rows: pa.Table) -> list[bytes]:
+        return [t.as_buffer().to_pybytes() for t in rows.column("text")]
 
     def distinct(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(hashes(Words([t.as_buffer().to_pybytes() for t in rows.column("text")], False)), return_counts=True)
+        return np.unique(Words(texts(rows), False).windows(window)[0] >> shift, return_counts=True)
+
+    def seeming(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Indexes of windows that seem to repeat."""
+        return np.flatnonzero((levels > 0)[np.unique(h >> shift, return_inverse=True)[1]])
+
+    def pairs(h: np.ndarray, rows: pa.Table, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of hashes of those windows, how many have each, and which each has."""
+        first, second = h[some], Words(texts(rows), False, seed=1).windows(window)[0][some]
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        new = np.ones(len(some), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        which = np.empty(len(some), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return a[new], b[new], np.bincount(which, minlength=int(new.sum())), which
+
+    def seem(rows: pa.Table, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = Words(texts(rows), False).windows(window)[0]
+        return pairs(h, rows, seeming(h, levels))[:3]
 
     def cut(rows: pa.Table, reply: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
         rows = unpack(rows.column("payload"))
-        words = Words([t.as_buffer().to_pybytes() for t in rows.column("text")], False)
+        words = Words(texts(rows), False)
         h, at = words.windows(window)
         gone = np.zeros(len(words.starts) + 1, np.int64)
         if len(h):
-            values, which = np.unique(h, return_inverse=True)
-            first = at[(levels_of(reply) > 0)[which]]
+            rounds = reply.column("round").to_numpy()
+            some = seeming(h, levels_of(reply.filter(pa.array(rounds == 1))))
+            first = some[(levels_of(reply.filter(pa.array(rounds == 2))) > 0)[pairs(h, rows, some)[3]]]
+            first = at[first]
             np.add.at(gone, first, 1)
             np.add.at(gone, first + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
@@ -77,7 +100,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     for c in carry:
         out = out.add(c, docs.schema[c].dataType)
     schema = to_arrow_schema(out)
-    reply = count_levels(blocks, scale, distinct, 64)
+    reply = count_levels(blocks, scale, distinct)
+    again = count_again(blocks, scale, reply, seem)
+    reply = reply.withColumn("round", F.lit(1)).union(again.withColumn("round", F.lit(2)))
     return blocks.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(cut, out)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -17,21 +18,19 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multipliers of the polynomial hashes modulo 2**64, over bytes and over words.
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_BYTE_INVERSE = pow(_BYTE_BASE, -1, 2**64)
+_BYTE_BASES, _WORD_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 #: Bytes hashed at a time; a longer word is taken whole.
 _CHUNK = 1 << 19
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the byte base and of its inverse, n at least."""
-    size = max(_CHUNK, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        _powers[size] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BYTE_BASE, _BYTE_INVERSE))
-    return _powers[size]
+def _power_table(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a byte base and of its inverse, n at least."""
+    if seed not in _powers or len(_powers[seed][0]) < n:
+        size, base = max(_CHUNK, 1 << (n - 1).bit_length()), _BYTE_BASES[seed]
+        _powers[seed] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (base, pow(base, -1, 2**64)))
+    return _powers[seed]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,9 +41,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts: their byte ranges in data, their text's number, their 64-bit hashes."""
+    """The words of several texts: their byte ranges in data, their text's number, their 64-bit hashes.
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    Hashes of another seed are independent.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool, seed: int = 0):
+        self.seed = seed
         self.data = b" ".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
         if lower:
@@ -63,7 +66,7 @@ class Words:
             base = self.starts[at]
             to = max(at + 1, int(np.searchsorted(self.ends, base + _CHUNK, "right")))
             part = raw[base : self.ends[to - 1]]
-            power, inverse = _power_table(len(part) + 1)
+            power, inverse = _power_table(len(part) + 1, seed)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
             s, e = self.starts[at:to] - base, self.ends[at:to] - base
@@ -75,12 +78,12 @@ class Words:
         n = len(self.hashes)
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h, m = self.hashes, 1
+        h, m, base = self.hashes, 1, _WORD_BASES[self.seed]
         for bit in bin(k)[3:]:  # from m words to 2 m, and one more where k has the bit
-            h = h[: n - 2 * m + 1] * np.uint64(pow(_WORD_BASE, m, 2**64)) + h[m : n - m + 1]
+            h = h[: n - 2 * m + 1] * np.uint64(pow(base, m, 2**64)) + h[m : n - m + 1]
             m *= 2
             if bit == "1":
-                h = h[: n - m] * np.uint64(_WORD_BASE) + self.hashes[m:]
+                h = h[: n - m] * np.uint64(base) + self.hashes[m:]
                 m += 1
         at = np.flatnonzero(self.text[: n - k + 1] == self.text[k - 1 :])
         return mix(h[at]), at
@@ -89,12 +92,13 @@ class Words:
 class Scale:
     """How many blocks of documents, buckets of hashes and hash bits an input of so many bytes gets.
 
-    Blocks and buckets are of 4 to 64 MB, 64 of each at least. bits: 2**8 values for each window, so that hashes
-    that only steer a search coincide by chance for one in some hundred.
+    Blocks and buckets hold 8 MB of text or more, as the root of the input grows, so that the rows that pass between
+    them have 64 hashes on average; 64 of each at least. A task needs some 15 times its block. bits: 2**8 values for
+    each window, so that hashes that only steer a search coincide by chance for one in some hundred.
     """
 
     def __init__(self, n_bytes: int):
-        size = min(64 << 20, max(4 << 20, n_bytes // 128))
+        size = max(8 << 20, int(math.sqrt(64 * 5.5 * n_bytes)))
         self.blocks = max(64, -(-n_bytes // size))
         self.buckets = 1 << max(6, (max(1, n_bytes) // size).bit_length())
         self.bits = min(64, max(32, (max(1, n_bytes) // 5).bit_length() + 8))
@@ -161,48 +165,74 @@ def _levels(total: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_levels(blocks: DataFrame, scale: Scale, hashes_of, bits: int) -> DataFrame:
+def _sent(block: int, values: np.ndarray, times: np.ndarray, buckets: int, top: int, second: np.ndarray | None = None) -> pa.Table:
+    """A row for each bucket: a block's ascending values of that bucket, and what goes with them."""
+    cuts = np.searchsorted(values >> np.uint64(top), np.arange(buckets + 1, dtype=np.uint64))
+    out = []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[k], cuts[k + 1])
+        more = np.flatnonzero(times[part] > 1)
+        out.append((block, k, _packed(values[part]), zlib.compress(np.concatenate([more, times[part][more]]).astype("<u4").tobytes(), 1), b"" if second is None else second[part].astype("<u8").tobytes()))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 5, _SENT)], schema=_SENT)
+
+
+_SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("second", pa.binary())])
+SENT, REPLY = "block int, bucket int, hashes binary, more binary, second binary", "block int, bucket int, levels binary"
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    """The levels of what the blocks sent to a bucket: for each row a byte for each of its values."""
+    own, times, second = [], [], []
+    for data, more, also in zip(rows.column("hashes"), rows.column("more"), rows.column("second")):
+        own.append(_unpacked(data.as_py()))
+        n = np.ones(len(own[-1]), np.int64)
+        at, extra = np.frombuffer(zlib.decompress(more.as_py()), "<u4").reshape(2, -1)
+        n[at] = extra
+        times.append(n)
+        second.append(np.frombuffer(also.as_py(), "<u8"))
+    ends = np.cumsum([len(x) for x in own])
+    values, second = np.concatenate(own), np.concatenate(second)
+    order = np.lexsort((second, values)) if len(second) else np.argsort(values, kind="stable")
+    new = np.concatenate([[True], np.diff(values[order]) != 0])
+    if len(second):
+        new[1:] |= np.diff(second[order]) != 0
+    sums = np.add.reduceat(np.concatenate(times)[order], np.flatnonzero(new))
+    levels = np.empty(len(values), np.uint8)
+    levels[order] = _levels(sums)[np.cumsum(new) - 1]
+    back = [zlib.compress(x.tobytes(), 1) for x in np.split(levels, ends[:-1])]
+    return pa.Table.from_arrays([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(back, pa.binary())], names=["block", "bucket", "levels"])
+
+
+def count_levels(blocks: DataFrame, scale: Scale, hashes_of) -> DataFrame:
     """Rows (block, bucket, levels): how often the corpus has each distinct hash of a block, in ascending order.
 
-    hashes_of turns a block's documents into ascending distinct 64-bit hashes, of which the highest bits count,
-    and the number of times the block has each. Each block sends each bucket one row with its hashes and has back
-    one with a byte for each (see _levels), so that no count of a common hash meets more than a row per block.
+    hashes_of turns a block's documents into ascending distinct hashes of scale.bits bits, and the number of times the
+    block has each. Each block sends each bucket one row with its hashes and has back one with a byte for each (see
+    _levels), so that no count of a common hash meets more than a row per block.
     """
-    shift, top = 64 - bits, bits - scale.buckets.bit_length() + 1
+    top, buckets = scale.bits - scale.buckets.bit_length() + 1, scale.buckets
 
     def emit(rows: pa.Table) -> pa.Table:
-        values, times = hashes_of(unpack(rows.column("payload")))
-        values = values >> np.uint64(shift)
-        cuts = np.searchsorted(values >> np.uint64(top), np.arange(scale.buckets + 1, dtype=np.uint64))
-        out = []
-        for k in range(scale.buckets):
-            own, n = values[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]]
-            if len(own):
-                more = np.flatnonzero(n > 1)
-                out.append((rows.column("block")[0].as_py(), k, _packed(own), zlib.compress(np.concatenate([more, n[more]]).astype("<u4").tobytes(), 1)))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "hashes", "more"])
-
-    def total(rows: pa.Table) -> pa.Table:
-        blocks_, own, times = rows.column("block").to_pylist(), [], []
-        for data, more in zip(rows.column("hashes"), rows.column("more")):
-            own.append(_unpacked(data.as_py()))
-            n = np.ones(len(own[-1]), np.int64)
-            at, extra = np.frombuffer(zlib.decompress(more.as_py()), "<u4").reshape(2, -1)
-            n[at] = extra
-            times.append(n)
-        ends = np.cumsum([len(x) for x in own])
-        values = np.concatenate(own)
-        order = np.argsort(values, kind="stable")
-        ordered = values[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        sums = np.add.reduceat(np.concatenate(times)[order], np.flatnonzero(new))
-        levels = np.empty(len(values), np.uint8)
-        levels[order] = _levels(sums)[np.cumsum(new) - 1]
-        back = [zlib.compress(x.tobytes(), 1) for x in np.split(levels, ends[:-1])]
-        return pa.Table.from_arrays([pa.array(blocks_, pa.int32()), rows.column("bucket").combine_chunks(), pa.array(back, pa.binary())], names=["block", "bucket", "levels"])
-
-    sent = blocks.groupBy("block").applyInArrow(emit, "block int, bucket int, hashes binary, more binary")
-    return sent.groupBy("bucket").applyInArrow(total, "block int, bucket int, levels binary")
+        return _sent(rows.column("block")[0].as_py(), *hashes_of(unpack(rows.column("payload"))), buckets, top)
+
+    return blocks.groupBy("block").applyInArrow(emit, SENT).groupBy("bucket").applyInArrow(_total, REPLY)
+
+
+def count_again(blocks: DataFrame, scale: Scale, reply: DataFrame, pairs_of) -> DataFrame:
+    """count_levels for what its reply left: pairs of 64-bit hashes, equal where both are.
+
+    pairs_of turns documents and their block's levels into distinct pairs, ascending by both, and their numbers.
+    """
+    top, buckets = 65 - scale.buckets.bit_length(), scale.buckets
+
+    def emit(rows: pa.Table, levels: pa.Table) -> pa.Table:
+        if not rows.num_rows or not levels.num_rows:
+            return _SENT.empty_table()
+        first, second, times = pairs_of(unpack(rows.column("payload")), levels_of(levels))
+        return _sent(rows.column("block")[0].as_py(), first, times, buckets, top, second)
+
+    sent = blocks.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(emit, SENT)
+    return sent.groupBy("bucket").applyInArrow(_total, REPLY)
 
 
 def levels_of(reply: pa.Table) -> np.ndarray:

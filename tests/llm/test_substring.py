@@ -61,3 +61,18 @@ def test_packed_values_come_back():
     for n in (0, 1, 2, 1000):
         v = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
         assert (_unpacked(_packed(v)) == v).all()
+
+
+def test_few_hash_bits_only_cost_work(spark, monkeypatch):
+    from lumenframe.llm import windows
+
+    made = windows.Scale.__init__
+
+    def few(self, n_bytes):
+        made(self, n_bytes)
+        self.bits = 8
+
+    monkeypatch.setattr(windows.Scale, "__init__", few)
+    rows = odd_texts() + [(20, "a b a b a b c"), (21, "q a b c")]
+    got = remove_repeats(documents(spark, rows), window=3).collect()
+    assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=str) == brute(rows, 3)
