@@ -18,7 +18,7 @@ from .tokens import tokenizer_path
 #: Normalised characters of a chunk; longer texts are cut.
 CHUNK = 1 << 16
 #: Word encodings kept by a Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 _SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?={_SPACE})")
@@ -46,6 +46,17 @@ class Vocabulary:
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = {i: p for p, i in self.ids.items()}
         self.splits = not any(_CUT.search(p) for p in self.ids)
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: By the characters of a piece: the score of the piece that ends here, or None, and what may follow.
+        self.tree: dict = {}
+        for p, score in self.scores.items():
+            below = self.tree
+            for c in p[:-1]:
+                below = below.setdefault(c, [None, {}])[1]
+            below.setdefault(p[-1], [None, {}])[0] = score
+        shown = {i: p.replace(_SPACE, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.shown = [shown.get(i, b"") for i in range(m.get_piece_size())]
+        self.stems: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}
 
@@ -79,20 +90,20 @@ class Vocabulary:
 
     def path(self, text: str) -> list[int]:
         """Cuts of the best path through a word."""
-        n, scores, width = len(text), self.scores, self.width
+        n, tree, unknown = len(text), self.tree, self.unknown
         best, last = [0.0] + [-np.inf] * n, [0] * (n + 1)
         for i in range(n):
-            own = best[i]
-            if own == -np.inf:
-                continue
-            for j in range(i + 1, min(n, i + width) + 1):
-                s = scores.get(text[i:j])
-                if s is None:
-                    if j > i + 1:
-                        continue
-                    s = self.unknown
-                if own + s > best[j]:
-                    best[j], last[j] = own + s, i
+            own, below, j = best[i], tree, i
+            for c in text[i:]:
+                found = below.get(c)
+                if found is None:
+                    break
+                j += 1
+                score, below = found
+                if score is not None and own + score > best[j]:
+                    best[j], last[j] = own + score, i
+            if own + unknown > best[i + 1] and text[i] not in self.scores:
+                best[i + 1], last[i + 1] = own + unknown, i
         cuts = [n]
         while cuts[-1]:
             cuts.append(last[cuts[-1]])
@@ -108,39 +119,53 @@ class Vocabulary:
                 out.append(i)
         return out.tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids, as little-endian unsigned 32-bit values, of the best path through a normalised text."""
-        out, cache = [], self.cache
-        for w in self.words(text):
-            ids = cache.get(w)
+    def word(self, text: str) -> bytes:
+        """Ids of a word. Two neighbours that no piece has are cut, so that punctuation does not make new words."""
+        cuts = [0, *(i + 1 for i in range(len(text) - 1) if text[i : i + 2] not in self.neighbours), len(text)]
+        out, stems = [], self.stems
+        for a, b in zip(cuts, cuts[1:]):
+            stem = text[a:b]
+            ids = stems.get(stem)
             if ids is None:
-                ids = self.spell(w, self.path(w))
-                if len(cache) < CACHE_WORDS:
-                    cache[w] = ids
+                ids = self.spell(stem, self.path(stem))
+                if len(stems) < CACHE_WORDS:
+                    stems[stem] = ids
             out.append(ids)
         return b"".join(out)
 
+    def encode(self, text: str) -> bytes:
+        """Ids, as little-endian unsigned 32-bit values, of the best path through a normalised text."""
+        return b"".join(map(self.word, self.words(text)))
+
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """encode and merges of a normalised text, by remembered words where each has one space mark before it."""
+        words = text.split(_SPACE)
+        if not self.splits or words[0] or "" in words[1:]:
+            return (self.encode(text), self.merges(text)) if text else (b"", b"")
+        del words[0]
+        ids, merged = self.cache, self.merged
+        try:
+            return b"".join(map(ids.__getitem__, words)), b"".join(map(merged.__getitem__, words))
+        except KeyError:
+            new = [w for w in dict.fromkeys(words) if w not in ids]
+        own = {w: self.word(_SPACE + w) for w in new}
+        other = {w: array.array("I", x).tobytes() for w, x in zip(new, self.model.encode(new, num_threads=1))}
+        if len(ids) + len(new) <= CACHE_WORDS:
+            ids.update(own)
+            merged.update(other)
+            return b"".join(map(ids.__getitem__, words)), b"".join(map(merged.__getitem__, words))
+        return tuple(b"".join([k[w] if w in k else f[w] for w in words]) for k, f in ((ids, own), (merged, other)))
+
     def merges(self, text: str) -> bytes:
         """Ids that the library's own algorithm for this model gives, word by word."""
         if not self.splits or not text.startswith(_SPACE):
             return array.array("I", self.model.encode(text[1:])).tobytes()
-        out, cache = [], self.merged
-        for w in self.words(text):
-            ids = cache.get(w)
-            if ids is None:
-                # the library puts a space mark before what it encodes, but not before nothing
-                ids = array.array("I", self.model.encode(w[1:].replace(_SPACE, " ")) if w != _SPACE else [self.ids[w]]).tobytes()
-                if len(cache) < CACHE_WORDS:
-                    cache[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        # the library puts a space mark before what it encodes, but not before nothing
+        found = (self.model.encode(w[1:].replace(_SPACE, " ")) if w != _SPACE else [self.ids[w]] for w in self.words(text))
+        return b"".join(array.array("I", x).tobytes() for x in found)
 
     def decode(self, ids: bytes) -> str:
-        out: list[bytes] = []
-        byte_of = {i: bytes([b]) for b, i in enumerate(self.bytes)}
-        for i in np.frombuffer(ids, "<u4").tolist():
-            out.append(self.text[i].encode() if i in self.text else byte_of[i])
-        return b"".join(out).decode().replace(_SPACE, " ")[1:]
+        return b"".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -241,10 +266,11 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
-            texts = [v.model.normalize(t) if t else "" for t in b.column(1).to_pylist()]
-            ids = [v.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([v.merges(t) if t else b"" for t in texts], pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "merged_ids", "decoded"])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 256):
+                b = whole_batch.slice(at, 256)
+                ids, merged = zip(*(v.both(v.model.normalize(t) if t else "") for t in b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(merged, pa.binary()), pa.array([v.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "merged_ids", "decoded"])
 
     done = short.mapInArrow(whole, schema)
     if long.isEmpty():
