@@ -124,8 +124,9 @@ def set_components(nodes: DataFrame, percent: int) -> DataFrame:
     prefix shingles as the smaller of their two required numbers are verified. In a longer list all sets are
     compared with the set of the most frequent shingles on average, which in a group of edited copies is close
     to all others. What is then in another component than most of its list is compared with all sets of
-    the list outside its own component, once, at the first prefix shingle that the two share, and the join that
-    brings them together verifies them. Pairs of one
+    the list outside its own component, once, at the first prefix shingle of a longer list that the two share,
+    and the join that brings them together verifies them, also where some of the prefix shingles that the two
+    share have short lists. Pairs of one
     component are left out as they change nothing, so that a group of n copies does not give n * n pairs.
     """
     prefix = F.slice("shingles", 1, F.col("prefix_size"))
@@ -151,13 +152,14 @@ def set_components(nodes: DataFrame, percent: int) -> DataFrame:
     long = materialize(long, "long")
     sizes = long.groupBy("token", "component").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("token").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("q")).where("q > 1").select("token", "main")
-    rest = long.join(materialize(mains, "mains"), "token").join(nodes.select("fp", prefix.alias("prefix"), "shingles"), "fp")
-    rest = materialize(rest, "rest")
+    rest = materialize(long.join(materialize(mains, "mains"), "token"), "open")
+    own = rest.groupBy("fp").agg(F.collect_list("token").alias("open"))
+    rest = materialize(rest.join(own, "fp").join(nodes.select("fp", prefix.alias("prefix"), "shingles"), "fp"), "rest")
     u, v = rest.where("component <> main").alias("u"), rest.alias("v")
     shared = F.array_intersect("u.prefix", "v.prefix")
     once = (F.col("u.component") != F.col("v.component")) & ((F.col("v.component") == F.col("v.main")) | (F.col("u.fp") < F.col("v.fp")))
     match = (F.col("u.token") == F.col("v.token")) & once & _near(F.col("u.n_shingles"), F.col("v.n_shingles"), percent)
-    match = match & (F.array_min(shared) == F.col("u.token")) & (F.size(shared) >= F.least("u.ell", "v.ell"))
+    match = match & (F.array_min(F.array_intersect("u.open", "v.open")) == F.col("u.token")) & (F.size(shared) >= F.least("u.ell", "v.ell"))
     match = match & _linked(F.size(F.array_intersect("u.shingles", "v.shingles")), F.col("u.n_shingles"), F.col("v.n_shingles"), percent)
     more = materialize(u.join(v, match).select(*_ordered(F.col("u.fp"), F.col("v.fp"))).distinct(), "more")
     return found if more.isEmpty() else connected_components(more.union(found.select("node", "component")))

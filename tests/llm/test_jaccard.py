@@ -63,6 +63,20 @@ def test_groups_of_edited_copies(spark, monkeypatch, short):
     assert sorted(map(tuple, near_duplicates(documents(spark, rows)).collect()), key=str) == brute(rows)
 
 
+def test_links_by_short_and_long_lists_together(spark):
+    """Words that 30 to 70 of the documents hold: a prefix has lists on both sides of SHORT_LIST, neither enough alone."""
+    rng, rows = random.Random(9), []
+    mid, weights = [f"mid{i}" for i in range(90)], [30 + 40 * i / 89 for i in range(90)]
+    for _ in range(150):
+        own = sorted(dict.fromkeys(rng.choices(mid, weights, k=60)), key=lambda w: rng.random())[:20]
+        common = [f"common{i}" for i in rng.sample(range(100), 35)]
+        rows += [(len(rows) + j, " ".join(own[5 * j : 15 + 5 * j] + common)) for j in range(2)]
+    rng.shuffle(rows)
+    want = brute(rows, 1)
+    assert sum(i != c for i, _, c in want) == 150
+    assert sorted(map(tuple, near_duplicates(documents(spark, rows), k=1).collect()), key=str) == want
+
+
 def test_no_rows(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
     assert near_duplicates(documents(spark, [(1, None), (2, "")])).count() == 2
