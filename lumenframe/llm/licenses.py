@@ -61,7 +61,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 
 #: A sentence ends at a mark before white space, at an empty line, or at a line break after a mark.
 _BREAK = r"(?<=[.:;!?])\s+|\n\s*\n"
-#: Every known sentence has one of these in normal form; others are not looked up.
+#: Every known sentence has one of these in normal form; texts without any are not searched.
 _TELLS = r"licen|permi|redistribu|warrant|copyright|software|rights"
 
 
@@ -74,18 +74,28 @@ def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES, own_lines: bool = True) -> DataFrame:
     """doc_id, n_sentences, sentence_ids (known sentences in their order), licenses and license (the first rule met).
 
-    A text is cut into lines' sentences; a sentence that runs over a line break is found too, as line breaks within
-    a sentence count as spaces only where the line has no mark at its end. Sentences are compared in normal form. A
+    A known sentence is found where it begins and ends at a mark before white space, at an empty line, with
+    own_lines at any line break, or at an end of the text; marks, line breaks and empty lines within it count as
+    spaces. Of known sentences that begin at one place the longest is taken, and the search goes on after it.
+    Sentences are compared in normal form. A
     rule is met where its sentences follow each other among the known ones. licenses has each licence once, in the
     order of the rules. Null, empty and very long texts, repeated rows and ids are fine: each row is scanned alone.
     """
-    known = F.create_map(*(F.lit(x) for k, s in sentences.items() for x in (_plain(s), k)))
+    plain = {_plain(x): k for k, x in sentences.items()}
+    known = F.create_map(*(F.lit(x) for pair in plain.items() for x in pair))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.filter(F.transform(F.filter(F.split(text, _BREAK), lambda s: F.lower(s).rlike(_TELLS)), normal), lambda s: s != "")
-    ids = F.filter(F.transform(parts, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
+    cut = F.regexp_replace(F.lower(text), r"(?<=[.:;!?])\s+", "\n")
+    if not own_lines:
+        cut = F.array_join(F.transform(F.split(F.lower(text), _BREAK), lambda s: F.translate(s, "\n", " ")), "\n")
+    cut = F.regexp_replace(cut, r"[^\p{L}\p{N}\n]+", " ")
+    cut = F.regexp_replace(F.concat(F.lit("\n"), cut, F.lit("\n")), r" ?\n[ \n]*", "\n")
+    any_known = "|".join(x.replace(" ", r"[ \n]") for x in sorted(plain, key=len, reverse=True))
+    parts = F.when(F.lower(text).rlike(_TELLS), F.regexp_extract_all(cut, F.lit(rf"(?<=\n)(?:{any_known})(?=\n)"), F.lit(0)))
+    parts = F.coalesce(parts, F.array().cast("array<string>"))
+    ids = F.filter(F.transform(parts, lambda s: F.try_element_at(known, F.translate(s, "\n", " "))), lambda k: k.isNotNull())
     found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.size(F.filter(F.split(text, _BREAK), lambda s: s.rlike(r"[\p{L}\p{N}]"))).cast("bigint").alias("n_sentences"), ids.alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     met = F.array(*(F.when(F.instr(line, " " + " ".join(seq) + " ") > 0, F.lit(name)) for name, seq in rules))
@@ -94,8 +104,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of every document."""
-    found = scan(table(spark, sf_dir, "documents"))
+    """Licences of every document. As in the SQL, a line break alone does not begin a sentence."""
+    found = scan(table(spark, sf_dir, "documents"), own_lines=False)
     return found.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_known"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"), "license")
 
 

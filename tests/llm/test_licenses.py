@@ -23,6 +23,50 @@ def test_ordered_rules(spark):
     assert scan(documents(spark, [])).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_published_headers_and_notices_on_their_own_line(spark):
+    want = {1: "Apache-2.0", 2: "GPL-3.0-or-later", 3: "GPL-2.0-or-later", 4: "MPL-2.0", 5: "Apache-2.0", 6: "MIT", 7: None}
+    own_line = "A title without a mark\nReleased under the MIT License\nMore text"
+    texts = [APACHE, GPL3, GPL2, MPL, "\n".join("# " + x for x in APACHE.split("\n")), own_line, "Not released under the MIT License."]
+    got = {r.doc_id: r for r in scan(documents(spark, list(enumerate(texts, 1)))).collect()}
+    assert {i: r.license for i, r in got.items()} == want
+    by_marks = {r.doc_id: r.license for r in scan(documents(spark, list(enumerate(texts, 1))), own_lines=False).collect()}
+    assert by_marks == want | {6: None}
+    assert got[1].sentence_ids == got[5].sentence_ids == ["apache-notice-long", "apache-copy", "apache-warranty"]
+
+
+def test_every_rule_by_its_sentences(spark):
+    texts = ["Intro\n" + ".\n".join(SENTENCES[k] for k in seq) + ".\nEnd" for _, seq in RULES]
+    got = {r.doc_id: r for r in scan(documents(spark, list(enumerate(texts)))).collect()}
+    for i, (name, seq) in enumerate(RULES):
+        assert got[i].sentence_ids == list(seq) and got[i].license == name
+
+
 def test_op8_equals_its_sql(spark):
     import duckdb
 
