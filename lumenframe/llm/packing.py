@@ -59,9 +59,11 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
-def document_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces.
 
+    specials_as_text: see PieceEncoder.
+
     A document's ids end with end_id; a null text is empty. Only documents longer than capacity are cut, into
     pieces of capacity ids after a first piece that holds the remainder.
     """
@@ -69,7 +71,7 @@ def document_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, end_id:
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, specials_as_text)
         for batch in batches:
             out = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -94,27 +96,29 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     its rank among the pieces of its length; ranks are counted in hashed blocks of about 100,000 pieces and
     the blocks' sizes are summed up, so that no common length meets in one task. The plan has no more rows than
     open room sizes and layers allow (some ten thousands at 2048), and is broadcast for that reason.
-    Rows that repeat each take a slot of their own. An empty table stays empty.
+    Rows that repeat each take a slot of their own. An empty table stays empty. Other columns pass through, whatever
+    their names, but for sequence_id and offset, which are replaced.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.createDataFrame(plan_best_fit(histogram, capacity), PLAN)
     blocks = max(64, sum(histogram.values()) // 100_000)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    dealt = pieces.select("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).alias("block"), F.col("doc_id").alias("by_id"), F.col("piece").alias("by_piece"), F.struct(*kept).alias("row"))
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")
     sizes = sizes.select("length", "block", before.alias("before"))
-    order = Window.partitionBy("length", "block").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "block").orderBy("by_id", "by_piece")
     ranked = dealt.withColumn("place", F.row_number().over(order)).join(sizes, ["length", "block"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("place") - 1).drop("block", "before", "place")
+    ranked = ranked.select("length", (F.col("before") + F.col("place") - 1).alias("rank"), "row")
     slot = (F.col("p.length") == F.col("d.length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     placed = ranked.alias("d").join(F.broadcast(plan.alias("p")), slot)
-    return placed.select("d.*", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), F.col("p.offset").alias("offset")).drop("rank")
+    return placed.select("d.row.*", (F.col("sequence_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), F.col("p.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """A row per piece of every document, with its place: see document_pieces and pack."""
-    return pack(materialize(document_pieces(docs, path, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity)
+def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, **options) -> DataFrame:
+    """A row per piece of every document, with its place: see document_pieces, which has the options, and pack."""
+    return pack(materialize(document_pieces(docs, path, capacity=capacity, **options), "pieces"), capacity=capacity)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ _VISIBLE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(
 
 _GAP = re.compile(r"\s\s")
 _ODD = re.compile(r"[^\S \n]")
-_encoders: dict[str, "PieceEncoder"] = {}
+_encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -34,19 +34,23 @@ class PieceEncoder:
     never crosses a cut. Where no two whitespace characters are neighbours and the only ones are space and
     newline, cutting before each space and around each newline cuts only where the tokenizer cuts itself, so
     the ids of a text are those of its pieces, and a piece is encoded once per worker. Other texts go to the
-    tokenizer whole.
+    tokenizer whole; so do texts that hold the string of an added token, which has an id of its own, as in the
+    library's plain call. With specials_as_text such strings are ordinary text instead, so that no document can write
+    a control token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.words.pre_tokenizer = pre_tokenizers.Sequence([])
         for t in (self.tokenizer, self.words):
-            t.encode_special_tokens = True
+            t.encode_special_tokens = specials_as_text
             if hasattr(t.model, "_resize_cache"):
                 t.model._resize_cache(0)
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.cache: dict[str, bytes] = {"": b""}
         self.marks = dict(zip(",.", self._ids(self.tokenizer, [",", "."])))
 
@@ -72,12 +76,20 @@ class PieceEncoder:
                 found[p] = (found.get(stem) or self.cache[stem]) + self.marks[p[-1]]
         return found
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text in pieces, or None where it has to be encoded whole."""
+        if "\x00" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text) or (not text.isascii() and _GAP.search(text)):
+            return None
+        if self.added and self.added.search(text):
+            return None
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "\x00" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text) or (not text.isascii() and _GAP.search(text)):
+        pieces = self._pieces(text)
+        if pieces is None:
             return self._ids(self.tokenizer, [text])[0]
-        pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         cache = self.cache
         try:
             return b"".join(map(cache.__getitem__, pieces))
@@ -90,8 +102,8 @@ class PieceEncoder:
         return b"".join([cache[p] if p in cache else fresh[p] for p in pieces])
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, specials_as_text: bool = False) -> PieceEncoder:
     """The worker's encoder for that vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, specials_as_text) not in _encoders:
+        _encoders[path, specials_as_text] = PieceEncoder(path, specials_as_text)
+    return _encoders[path, specials_as_text]

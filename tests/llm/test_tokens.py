@@ -1,6 +1,8 @@
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,7 +18,6 @@ SF = "/root/testdata/sf0.001"
 
 def library():
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,6 +33,16 @@ def test_piece_encoder_equals_the_library(spark):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == encode(t)
 
 
+def test_strings_of_added_tokens():
+    plain, text = library(), tokens.PieceEncoder(tokens.tokenizer_path(), specials_as_text=True)
+    enc, t = tokens.PieceEncoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
+    t.encode_special_tokens = True
+    for s in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\n z<|endoftext|>", "<|endoftext| >"):
+        assert np.frombuffer(enc.encode(s), "<u4").tolist() == plain(s)
+        assert np.frombuffer(text.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+    assert plain("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_cache_limit_changes_no_ids(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
     enc, encode = tokens.PieceEncoder(tokens.tokenizer_path()), library()
@@ -57,6 +68,42 @@ def test_token_files_round_trip(spark):
     assert some == {4: library()(dict(odd_texts())[4]) + [2], 8: library()(dict(odd_texts())[8]) + [2]}
 
 
+def test_fetch_decodes_only_what_is_asked(spark):
+    """All other frames are broken: fetch does not touch them."""
+    out, broken = fresh_path(spark, "t"), fresh_path(spark, "t")
+    rows = [(i, f"text number {i} " * (1 + i % 5)) for i in range(40)]
+    token_files.write_token_files(documents(spark, rows), out, tokens.tokenizer_path())
+
+    def spoil(batches):
+        for b in batches:
+            payloads = []
+            for r in b.to_pylist():
+                data, begin = bytearray(r["payload"]), 0
+                for i, end in zip(r["doc_ids"], r["ends"]):
+                    if i not in (7, 30):
+                        data[begin:end] = b"\0" * (end - begin)
+                    begin = end
+                payloads.append(bytes(data))
+            at = b.schema.get_field_index("payload")
+            yield b.set_column(at, "payload", pa.array(payloads, pa.binary()))
+
+    spark.read.parquet(f"{out}/shards").mapInArrow(spoil, token_files.SHARD).write.parquet(f"{broken}/shards")
+    spark.read.parquet(f"{out}/dictionary").write.parquet(f"{broken}/dictionary")
+    got = {r.doc_id: r.ids for r in token_files.fetch(spark, broken, [7, 30, 99]).collect()}
+    assert got == {i: library()(dict(rows)[i]) + [2] for i in (7, 30)}
+    assert {r.doc_id for r in token_files.fetch(spark, out, list(range(10, 90))).collect()} == set(range(10, 40))
+
+
+def test_many_short_documents_in_linear_time(spark):
+    times = []
+    for n in (20_000, 80_000):
+        out, began = fresh_path(spark, "t"), time.perf_counter()
+        token_files.write_token_files(spark.range(n).selectExpr("id % 3 AS doc_id", "'' AS text"), out, tokens.tokenizer_path())
+        times.append(time.perf_counter() - began)
+        assert token_files.read_digests(spark, out).agg({"start": "max"}).first()[0] == n - 1
+    assert times[1] < 4 * times[0] + 2
+
+
 def test_token_files_of_nothing(spark):
     out = fresh_path(spark, "t")
     token_files.write_token_files(documents(spark, []), out, tokens.tokenizer_path())
@@ -104,6 +151,14 @@ def test_packing_odd_rows(spark, capacity):
     assert packing.pack_documents(documents(spark, []), tokens.tokenizer_path()).count() == 0
 
 
+def test_pack_keeps_columns_of_any_name(spark):
+    rows = [(i, 0, 5 + i % 3, i, -i, i * 2, i * 3, -1) for i in range(50)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint, block bigint, rank bigint, before bigint, place bigint, offset bigint")
+    got = packing.pack(pieces, capacity=16)
+    assert got.columns == [*pieces.columns[:-1], "sequence_id", "offset"]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == [r[:7] for r in rows]
+
+
 def test_plan_equals_one_by_one_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(60):
