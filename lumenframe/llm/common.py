@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import shared_path, written
@@ -48,6 +48,12 @@ def ship(spark: SparkSession) -> None:
     sc._lumenframe_shipped = True
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A 128-bit hash of a row's id and text, which tells rows apart also where ids are null or repeat; a null text is empty."""
+    own, id_ = F.coalesce(F.col(text), F.lit("")), F.col(doc_id).cast("bigint")
+    return F.struct(F.xxhash64(id_, own).alias("a"), F.xxhash64(F.lit(1), own, id_).alias("b"))
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts; one pass that reads only that column."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, materialize, table
+from .common import WORD_BREAK, materialize, row_key, table
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -58,11 +58,6 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, _let(hashes, any_twice)).otherwise(F.lit(0).cast("bigint"))
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """A hash that tells rows apart also where ids are null or repeat."""
-    return F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit("")))
-
-
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key and the counts that the rules use, over whole texts; a null text counts as empty.
 
