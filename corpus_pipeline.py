@@ -2,8 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read as the next one's
 docs. All but the last return the columns of documents. Nulls in any column, empty and very long texts, repeated rows and
-empty tables pass through as their operators define; a row with a null doc_id is judged like any other by the stages
-that judge texts, and is never dropped as a duplicate.
+empty tables pass through as their operators define. Stages decide by row, not by id: rows of one id with different
+texts are judged one by one, rows with a null doc_id like any other, and of rows with equal id and text one stays in the
+stage that drops duplicates. Rows without a word have no duplicates. Extra columns of any name pass through the stages
+that drop rows.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import jaccard, packing, quality, substring, tokens, toxicity
-from lumenframe.llm.common import fresh_path, materialize, table
+from lumenframe.llm.common import fresh_path, materialize, row_key, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +23,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_below(docs, model, 0.5)
 
 
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """row (all columns) and row_key."""
+    return docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("row_key"))
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that fail the base rules or are more likely bad than good."""
-    bad = quality.judge(docs).where("not kept").select("row_key").distinct()
-    keyed = docs.withColumn("row_key", quality.row_key("doc_id", "text"))
-    return keyed.join(materialize(bad, "low-quality"), "row_key", "left_anti").select(docs.columns)
+    bad = materialize(quality.judge(docs).where("not kept").select("row_key").distinct(), "low-quality")
+    return _with_keys(docs).join(bad, "row_key", "left_anti").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    found = jaccard.near_duplicates(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(copies, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates: that of the smallest id, of those the one of the least row key."""
+    found = jaccard.near_duplicates(docs).where("n_shingles > 0").groupBy("row_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    found = materialize(found.where("not kept or n > 1"), "near-duplicates")
+    keyed = _with_keys(docs)
+    single = keyed.join(found, "row_key", "left_anti")
+    equal = keyed.join(found.where("kept").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return single.union(equal).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
