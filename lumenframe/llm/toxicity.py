@@ -21,6 +21,20 @@ STEMS = (4, 5, 6)
 SCORED = "doc_id bigint, score double, evidence double, passages array<struct<start:bigint,end:bigint,score:double,p:double>>"
 
 
+class _Known(dict):
+    """Scores of the words met so far by a worker; others are worked out, and remembered up to a limit."""
+
+    def __init__(self, score):
+        super().__init__()
+        self.score = score
+
+    def __missing__(self, word: str) -> float:
+        found = self.score(word)
+        if len(self) < 300_000:
+            self[word] = found
+        return found
+
+
 @dataclass
 class Model:
     """scores: log-odds of telling words ("idiot") and beginnings ("idio+"); every other word scores -step.
@@ -35,50 +49,53 @@ class Model:
     decay: float = 1.0
     slope: float = 0.0
     bias: float = -2.0
-    cache: dict[str, float] = field(default_factory=dict)
+    known: _Known | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     def word(self, w: str) -> float:
-        found = self.cache.get(w)
-        if found is None:
-            forms = [self.scores.get(w), *(self.scores.get(w[:k] + "+") for k in STEMS if len(w) >= k)]
-            found = max((f for f in forms if f is not None), default=-self.step)
-            if len(self.cache) < 300_000:
-                self.cache[w] = found
-        return found
+        forms = [self.scores.get(w), *(self.scores.get(w[:k] + "+") for k in STEMS if len(w) >= k)]
+        return max((f for f in forms if f is not None), default=-self.step)
+
+    def values(self, words: list[str]) -> np.ndarray:
+        if self.known is None:
+            self.known = _Known(self.word)
+        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
 
 
 def telling_words(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, int]:
     """Places and scores of words that score above zero, and the number of words."""
-    words = _WORD.findall(text.lower())
-    cache, word = model.cache, model.word
-    values = np.fromiter((cache[w] if w in cache else word(w) for w in words), float, len(words))
+    values = model.values(_WORD.findall(text.lower()))
     at = np.flatnonzero(values > 0)
-    return at, values[at], len(words)
+    return at, values[at], len(values)
 
 
 def segments(at: np.ndarray, values: np.ndarray, step: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass over the words that score above zero.
+    """All maximal scoring segments (start, end, score), in linear time over the words that score above zero.
 
     The words between them score -step each. Candidates are kept with the sums before and after them, and one is
-    joined with an earlier one whenever that gives more than either.
+    joined with an earlier one whenever that gives more than either. Each candidate knows the last one before it with
+    a lower sum; a search goes along these links, so that what one search has passed over no later one looks at.
     """
-    kept: list[tuple[float, float, int, int]] = []
+    kept: list[tuple[float, float, int, int, int]] = []
     total, last = 0.0, 0
     for place, value in zip(at.tolist(), values.tolist()):
         total -= step * (place - last)
         last = place + 1
         low, start, high, end = total, place, total + value, place + 1
         total = high
+        k = len(kept) - 1
         while True:
-            k = len(kept) - 1
             while k >= 0 and kept[k][0] >= low:
-                k -= 1
+                k = kept[k][4]
             if k < 0 or kept[k][1] >= high:
-                kept.append((low, high, start, end))
+                kept.append((low, high, start, end, k))
                 break
-            low, start = kept[k][0], kept[k][2]
+            low, _, start, _, before = kept[k]
             del kept[k:]
-    return [(start, end, high - low) for low, high, start, end in kept]
+            k = before
+    return [(start, end, high - low) for low, high, start, end, _ in kept]
 
 
 def evidence(text: str, model: Model) -> tuple[float, list[tuple[int, int, float, float]]]:
@@ -106,11 +123,16 @@ def _signature(text: str) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text and toxic (0 or 1) of the rows labelled rows that come first by hashed id; at most so many are broadcast."""
+    """doc_id, text and toxic (0 or 1) of the rows labelled ids that come first by hash; at most so many are broadcast.
+
+    A repeated id gives one text, that of the least hash, so that there are no more rows than that either.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("by"), "text")).alias("least"), F.max("toxic").alias("toxic"))
+    return found.select("doc_id", F.col("least.text").alias("text"), "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = 8192, least_docs: int = 3, most_features: int = 50_000) -> Model:
@@ -176,7 +198,7 @@ def _fit(sample: DataFrame, least_docs: int, most_features: int) -> Model:
     words = sum(n for n, _ in clean) + 1
     model.decay = 1.0 / max(0.5, sum(some) / len(some)) if some else 1.0
     model.location = math.log((len(some) + 1) / words)
-    model.cache = {}
+    model.known = None
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +214,7 @@ def _fit(sample: DataFrame, least_docs: int, most_features: int) -> Model:
         w = w + np.clip(step, -1, 1)
         if np.abs(step).max() < 1e-8:
             break
-    model.slope, model.bias, model.cache = max(0.0, float(w[0])), float(w[1]), {}
+    model.slope, model.bias = max(0.0, float(w[0])), float(w[1])
     return model
 
 

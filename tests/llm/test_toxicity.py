@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -61,3 +62,21 @@ def test_passages_are_found_in_whole_texts(spark):
     row = score(documents(spark, [(1, filler + "you idiot scum " + filler + "Scum, IDIOT scum"), (2, filler)]), model).orderBy("doc_id").collect()
     assert [(p.start, p.end) for p in row[0].passages] == [(50_001, 50_003), (100_003, 100_006)]
     assert row[0].score > 0.5 > row[1].score
+
+
+def test_segments_in_linear_time():
+    """A million scoring words, with sums that fall, rise and stay."""
+    rng = np.random.default_rng(1)
+    for gap in (2, 5):
+        at = np.arange(1_000_000) * gap
+        for values in (np.full(len(at), 0.2), np.full(len(at), 1.0), rng.random(len(at)), np.sort(rng.random(len(at)))):
+            began = time.perf_counter()
+            assert toxicity.segments(at, values, 0.3)
+            assert time.perf_counter() - began < 3
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.range(500).selectExpr("id % 5 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(5).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic", "1 AS quality")
+    rows = toxicity._sample(docs, labels, 3).collect()
+    assert 0 < len(rows) <= 3 and len({r.doc_id for r in rows}) == len(rows)
