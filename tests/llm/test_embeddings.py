@@ -51,18 +51,33 @@ def test_groups_and_odd_vectors(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=str) == brute([(i, [x / 1e300 for x in v] if i == 609 else [x * 1e300 for x in v] if i == 608 else v) for i, v in rows])
 
 
-def test_recall_near_the_threshold(spark):
-    rng = np.random.default_rng(4)
+def pairs_at_the_threshold(rng, n, dim):
     rows = []
-    for _ in range(300):
-        a = rng.normal(size=64)
+    for _ in range(n):
+        a, b = rng.normal(size=(2, dim))
         a /= np.linalg.norm(a)
-        b = rng.normal(size=64)
         b -= (a @ b) * a
-        b /= np.linalg.norm(b)
-        rows += [a, 0.951 * a + np.sqrt(1 - 0.951**2) * b]
+        rows += [a, 0.951 * a + np.sqrt(1 - 0.951**2) * b / np.linalg.norm(b)]
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("dim,hashes", [(64, 1), (64, 2), (64, 3), (64, 4), (64, 5), (128, 3), (128, 4), (128, 5), (384, 2), (384, 4)])
+def test_keys_meet_near_the_threshold(dim, hashes):
+    keys = embeddings.bucket_keys(pairs_at_the_threshold(np.random.default_rng(dim), 400, dim), embeddings.TABLES[hashes], hashes, hashes)
+    keys = keys.reshape(len(keys), -1)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(keys[::2], keys[1::2])]) >= 0.95
+
+
+@pytest.mark.parametrize("hashes", [None, 3, 5])
+def test_recall_near_the_threshold(spark, hashes):
+    rows = pairs_at_the_threshold(np.random.default_rng(4), 300, 64)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
-    assert near_vectors(frame).where("n_links = 1").count() >= 0.9 * len(rows)
+    assert near_vectors(frame, hashes=hashes).where("n_links = 1").count() >= 0.95 * len(rows)
+
+
+def test_hashes_grow_with_the_input():
+    assert [embeddings.key_hashes(n, 64) for n in (0, 1, 8192, 8200, 10**6, 10**8, 10**10, 10**14)] == [1, 1, 1, 2, 2, 3, 4, 5]
+    assert [embeddings.key_hashes(10**10, d) for d in (1, 2, 64, 128, 768)] == [5, 5, 4, 4, 3]
 
 
 def test_op7_on_the_table(spark):
