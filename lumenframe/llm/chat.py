@@ -45,6 +45,9 @@ def format_windows(turns: DataFrame, *, budget: int = 512, history: int = 128, t
     windows begin with the system turn and the last turns before them, as many as history tokens hold. A turn longer
     than that has a window of its own, over the budget.
 
+    Only a turn's place and prefix sums are put in one row per conversation, where the windows' borders are found;
+    texts meet in rows of one window, which the budget bounds. So a conversation's work grows in proportion to its turns.
+
     Returns conv_id, window, text, n_context (turns repeated from earlier windows, which come first), n_turns (all
     turns in the text), and loss_spans (start and end in characters): the assistants' texts, without the repeated ones.
     """
@@ -53,33 +56,39 @@ def format_windows(turns: DataFrame, *, budget: int = 512, history: int = 128, t
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     rows = rows.withColumn("head", F.char_length(head)).withColumn("body", escape(F.col("raw")))
     rows = rows.withColumn("text", F.concat(head, F.col("body"), F.lit(END))).withColumn("tokens", tokens(F.col("text")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
+    chat = Window.partitionBy("conv_id")
+    order = chat.orderBy("turn", "role", "raw")
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    turn = F.struct("place", "role", "text", "head", F.char_length("body").alias("body"), "tokens", (F.col("upto") - F.col("tokens")).alias("before"), "upto")
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    system = F.col("turns")[0]["role"] == "system"
-    chats = chats.withColumn("first", F.when(system, 1).otherwise(0)).withColumn("n", F.size("turns"))
-    chats = chats.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.when(system, F.col("turns")[0]["tokens"]).otherwise(0)))
-
+    rows = rows.withColumn("before", F.col("upto") - F.col("tokens"))
+    # the first turn that the history reaches back to, if a window begins at this one
+    rows = rows.withColumn("reach", F.min("place").over(chat.orderBy("before").rangeBetween(-history, Window.currentRow)))
+
+    system = F.max(F.when((F.col("place") == 1) & (F.col("role") == "system"), F.col("tokens")))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "before", "upto", "reach"))).alias("turns"), system.alias("system"))
+    chats = chats.withColumn("first", F.when(F.col("system").isNotNull(), 1).otherwise(0)).withColumn("n", F.size("turns"))
+    chats = chats.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("system", F.lit(0))))
     new = F.slice("turns", F.col("first") + 1, F.col("n") - F.col("first"))
-    base = F.coalesce(F.get("turns", F.col("first"))["before"], F.lit(0)).cast("bigint")
-    state = F.struct(F.array(F.col("first")).alias("starts"), base.alias("base"))
+    begin = F.get("turns", F.col("first"))
+    begin = F.struct((F.col("first") + 1).alias("start"), F.coalesce(begin["reach"], F.lit(1)).alias("reach"), F.coalesce(begin["before"], F.lit(0)).cast("bigint").alias("before"))
 
     def step(s, t):
-        here = t["place"] - 1
-        over = (t["upto"] - s["base"] > F.col("room")) & (here != F.element_at(s["starts"], -1))
-        cut = F.struct(F.array_append(s["starts"], here).alias("starts"), t["before"].alias("base"))
-        return F.when(over, cut).otherwise(s)
-
-    chats = chats.withColumn("starts", F.aggregate(new, state, step, lambda s: s["starts"]))
-    cuts = chats.select("conv_id", "turns", "first", "n", "starts", F.posexplode("starts").alias("window", "start"))
-    before = F.slice("turns", F.col("first") + 1, F.col("start") - F.col("first"))
-    upto = F.get("turns", F.col("start") - 1)["upto"]
-    cuts = cuts.withColumn("stop", F.coalesce(F.get("starts", F.col("window") + 1), F.col("n")))
-    cuts = cuts.withColumn("back", F.when(F.col("window") == 0, 0).otherwise(F.size(F.filter(before, lambda t: upto - t["before"] <= history))))
-    parts = F.concat(F.slice("turns", F.lit(1), F.col("first")), F.slice("turns", F.col("start") - F.col("back") + 1, F.col("stop") - F.col("start") + F.col("back")))
-    context = F.when(F.col("window") == 0, 0).otherwise(F.col("first") + F.col("back"))
-    cuts = cuts.select("conv_id", "window", parts.alias("parts"), context.alias("n_context"))
+        last = F.element_at(s, -1)
+        over = (t["upto"] - last["before"] > F.col("room")) & (t["place"] != last["start"])
+        return F.when(over, F.array_append(s, F.struct(t["place"].alias("start"), t["reach"].alias("reach"), t["before"].alias("before")))).otherwise(s)
+
+    chats = chats.select("conv_id", "first", "n", F.aggregate(new, F.array(begin), step).alias("starts"))
+    stop = lambda i: F.coalesce(F.get("starts", i + 1)["start"] - 1, F.col("n"))
+    cuts = F.transform("starts", lambda x, i: F.struct(x["start"].alias("start"), x["reach"].alias("reach"), stop(i).alias("stop")))
+    cuts = chats.select("conv_id", "first", F.posexplode(cuts).alias("window", "cut"))
+    begun = F.col("window") > 0
+    back = F.when(begun, F.greatest("cut.reach", F.col("first") + 1)).otherwise(F.lit(1))
+    context = F.when(begun, F.col("first") + F.col("cut.start") - back).otherwise(0)
+    places = F.concat(F.when(begun & (F.col("first") == 1), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), F.sequence(back, F.col("cut.stop")))
+    members = cuts.select("conv_id", "window", context.alias("n_context"), F.explode(places).alias("place")).alias("m")
+    rows = rows.select("conv_id", "place", "role", "text", "head", F.char_length("body").alias("body")).alias("r")
+    same = F.col("m.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("m.place") == F.col("r.place"))
+    part = F.struct("r.place", "role", "text", "head", "body")
+    cuts = members.join(rows, same).groupBy("m.conv_id", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("n_context").alias("n_context"))
     at = lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, t: a + F.char_length(t["text"]))
     span = lambda t, i: F.when((t["role"] == "assistant") & (i >= F.col("n_context")), F.struct((at(i) + t["head"]).alias("start"), (at(i) + t["head"] + t["body"]).alias("end")))
     spans = F.filter(F.transform("parts", span), lambda x: x.isNotNull())

@@ -1,5 +1,8 @@
+import time
 import hashlib
 
+from pyspark.sql import functions as F
+
 from lumenframe.llm.chat import END, START, digests, format_windows, op1_chat_format
 
 SF = "/root/testdata/sf0.001"
@@ -46,8 +49,6 @@ def test_budget_history_and_mask(spark):
     rows = [(4, 0, "system", "s " * 4)] + [(4, i, ("assistant", "user")[i % 2], f"w{i} " * 10) for i in range(1, 30)]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     count = lambda text: len(text.split())
-    from pyspark.sql import functions as F
-
     tokens = lambda c: F.size(F.split(F.trim(c), r"\s+")).cast("bigint")
     windows = sorted(format_windows(frame, budget=60, history=26, tokens=tokens).collect(), key=lambda w: w.window)
     assert len(windows) > 3
@@ -57,3 +58,15 @@ def test_budget_history_and_mask(spark):
         assert sum(count(p + END) for p in parts) <= 60
         assert w.n_context == (3 if w.window else 0)
         assert [w.text[s.start : s.end] for s in w.loss_spans] == [p.split("\n", 1)[1] for p in parts[w.n_context :] if p.startswith(f"{START}assistant")]
+
+
+def test_long_conversation_in_linear_time(spark):
+    """100,000 turns in one conversation, beside others."""
+    times = []
+    for n in (10_000, 100_000):
+        turns = spark.range(n + 50).selectExpr(f"if(id < {n}, 1, id) AS conv_id", "id AS turn", "if(id = 0, 'system', if(id % 2 = 1, 'user', 'assistant')) AS role", "concat('turn number ', id, ' says some more words') AS text")
+        began = time.perf_counter()
+        got = format_windows(turns).where("conv_id = 1").agg(F.count("*"), F.sum(F.col("n_turns") - F.col("n_context")), F.sum(F.size("loss_spans")), F.max("n_turns")).first()
+        times.append(time.perf_counter() - began)
+        assert got[1] == n and got[2] == (n - 1) // 2 and got[3] < 60 and got[0] > n / 60
+    assert times[1] < 10 * times[0] + 5 and times[1] < 60
