@@ -93,6 +93,9 @@ def _stream(t: Tables) -> DataFrame:
     return streams.with_watermark(events, "ts", "1 hour")
 
 
+_SESSIONS = "SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"
+
+
 def _zoneless(df: DataFrame) -> DataFrame:
     return df.select(F.col("window.start").cast("timestamp_ntz").alias("start"), *(c for c in df.columns if c != "window"))
 
@@ -109,19 +112,19 @@ def q_stream_sliding(t: Tables) -> DataFrame:
     return _zoneless(streams.run_once(counts, "sliding", "complete"))
 
 
-@query()
+@query("SELECT start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def q_stream_append(t: Tables) -> DataFrame:
     counts = streams.tumbling(_stream(t), "ts", "1 day", ["event_type"], F.count("*").alias("n"))
     return _zoneless(streams.run_once(counts, "append"))
 
 
-@query()
+@query(f"SELECT user_id, start, n FROM ({_SESSIONS}) WHERE last + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def q_stream_session(t: Tables) -> DataFrame:
     found = streams.run_once(streams.sessions(_stream(t), "ts", "30 minutes", ["user_id"], F.count("*").alias("n")), "session")
     return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+@query(f"SELECT user_id, start, n FROM ({_SESSIONS})")
 def q_session_batch(t: Tables) -> DataFrame:
     found = streams.sessions(t.events, "ts", "30 minutes", ["user_id"], F.count("*").alias("n"))
     return found.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
@@ -228,6 +231,20 @@ def q_merge(t: Tables) -> DataFrame:
     return writers.merge(target, source, ["s_suppkey"], update=["s_acctbal"], delete_when="s_suppkey % 10 = 0")
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region")
+def q_merge_insert_only(t: Tables) -> DataFrame:
+    source = t.nation.select("n_nationkey", F.lit("changed").alias("n_name")).union(t.region.select(F.col("r_regionkey") + 100, "r_name"))
+    return writers.merge(t.nation, source, ["n_nationkey"])
+
+
+@query("SELECT c_custkey, CASE WHEN o.n > 10 THEN -c_acctbal ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) o ON o_custkey = c_custkey WHERE n IS NOT NULL OR c_acctbal >= 0")
+def q_merge_unmatched(t: Tables) -> DataFrame:
+    target = t.customer.select("c_custkey", "c_acctbal")
+    orders = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    source = orders.join(target, "c_custkey", "left").withColumn("c_acctbal", -F.col("c_acctbal"))
+    return writers.merge(target, source, ["c_custkey"], update=["c_acctbal"], update_when="source.n > 10", insert=False, delete_unmatched_when="c_acctbal < 0")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 0, 'P'")
 def q_overwrite_where(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "orders")

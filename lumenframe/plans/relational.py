@@ -157,55 +157,64 @@ def q_recursive_cte(t: Tables) -> DataFrame:
 
 
 def _orders_customers(t: Tables):
-    return t.orders.filter("o_custkey % 3 = 0"), t.customer.filter("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey")
+    """All rows of both; finished orders and one segment's customers have no key, so that each side has rows without a match."""
+    o = t.orders.withColumn("o_key", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")))
+    c = t.customer.withColumn("c_key", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey")))
+    return o, c, F.col("o_key") == F.col("c_key")
 
 
-_OC = "(SELECT * FROM orders WHERE o_custkey % 3 = 0) {} (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey"
+_O = "(SELECT *, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS o_key FROM orders)"
+_C = "(SELECT *, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS c_key FROM customer)"
 
 
-@query(f"SELECT o_orderkey, c_custkey FROM {_OC.format('JOIN')}")
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def q_join_inner(t: Tables) -> DataFrame:
+    return joins.join(t.orders, t.customer, "inner", on=F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey")
+
+
+@query(f"SELECT o_orderkey, c_custkey FROM {_O} JOIN {_C} ON o_key = c_key")
+def q_join_inner_null_keys(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "inner", on=on).select("o_orderkey", "c_custkey")
 
 
-@query(f"SELECT o_orderkey, c_custkey FROM {_OC.format('LEFT JOIN')}")
+@query(f"SELECT o_orderkey, c_custkey FROM {_O} LEFT JOIN {_C} ON o_key = c_key")
 def q_join_left(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "left_outer", on=on).select("o_orderkey", "c_custkey")
 
 
-@query(f"SELECT o_orderkey, c_custkey FROM {_OC.format('RIGHT JOIN')}")
+@query(f"SELECT o_orderkey, c_custkey FROM {_O} RIGHT JOIN {_C} ON o_key = c_key")
 def q_join_right(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "right_outer", on=on).select("o_orderkey", "c_custkey")
 
 
-@query(f"SELECT o_orderkey, c_custkey FROM {_OC.format('FULL JOIN')}")
+@query(f"SELECT o_orderkey, c_custkey FROM {_O} FULL JOIN {_C} ON o_key = c_key")
 def q_join_full(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "full_outer", on=on).select("o_orderkey", "c_custkey")
 
 
-@query(f"SELECT o_orderkey FROM {_OC.format('SEMI JOIN')}")
+@query(f"SELECT o_orderkey FROM {_O} SEMI JOIN {_C} ON o_key = c_key")
 def q_join_semi(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "left_semi", on=on).select("o_orderkey")
 
 
-@query(f"SELECT o_orderkey FROM {_OC.format('ANTI JOIN')}")
+@query(f"SELECT o_orderkey FROM {_O} ANTI JOIN {_C} ON o_key = c_key")
 def q_join_anti(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "left_anti", on=on).select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) SEMI JOIN (SELECT * FROM orders WHERE o_custkey % 3 = 0) ON o_custkey = c_custkey")
+@query(f"SELECT c_custkey FROM {_C} SEMI JOIN {_O} ON o_key = c_key")
 def q_join_right_semi(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "right_semi", on=on).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) ANTI JOIN (SELECT * FROM orders WHERE o_custkey % 3 = 0) ON o_custkey = c_custkey")
+@query(f"SELECT c_custkey FROM {_C} ANTI JOIN {_O} ON o_key = c_key")
 def q_join_right_anti(t: Tables) -> DataFrame:
     o, c, on = _orders_customers(t)
     return joins.join(o, c, "right_anti", on=on).select("c_custkey")
@@ -216,10 +225,10 @@ def q_join_cross(t: Tables) -> DataFrame:
     return joins.join(t.region, t.nation, "cross").select("r_name", "n_name")
 
 
-@query("SELECT k, a.n_name AS n_name, b.c_custkey AS c_custkey FROM (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey > 5) b USING (k)")
+@query("SELECT k, a.n_name AS n_name, b.c_custkey AS c_custkey FROM (SELECT CASE WHEN n_regionkey <> 1 THEN n_nationkey END AS k, n_name FROM nation) a FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer) b USING (k)")
 def q_join_using(t: Tables) -> DataFrame:
-    a = t.nation.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("k"), "n_name")
-    b = t.customer.filter("c_nationkey > 5").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    a = t.nation.select(F.when(F.col("n_regionkey") != 1, F.col("n_nationkey")).alias("k"), "n_name")
+    b = t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey")
     return joins.join(a, b, "full_outer", using=["k"])
 
 
@@ -426,10 +435,10 @@ def q_offset(t: Tables) -> DataFrame:
     return ordering.limit(ordering.sort(t.orders.select("o_orderkey"), "o_orderkey"), 25, skip=10)
 
 
-@query("SELECT k, o_orderkey FROM (SELECT nullif(o_orderstatus, 'F') AS k, o_orderkey FROM orders) ORDER BY k ASC NULLS LAST, o_orderkey DESC LIMIT 40")
+@query("SELECT k, o_orderkey FROM (SELECT nullif(o_orderstatus, 'F') AS k, o_orderkey FROM orders) ORDER BY k ASC NULLS LAST, o_orderkey DESC")
 def q_sort_nulls(t: Tables) -> DataFrame:
     rows = t.orders.select(F.nullif("o_orderstatus", F.lit("F")).alias("k"), "o_orderkey")
-    return ordering.sort(rows, ordering.order("k", "asc", "last"), F.desc("o_orderkey")).limit(40)
+    return ordering.sort(rows, ordering.order("k", "asc", "last"), F.desc("o_orderkey"))
 
 
 @query("SELECT p_partkey FROM part ORDER BY p_partkey DESC LIMIT 7")
@@ -453,10 +462,10 @@ def q_coalesce(t: Tables) -> DataFrame:
 
 
 def _sets(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")).filter("k < 15")
+    return t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select((F.col("s_nationkey") + 10).alias("k"))
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_nationkey < 15"
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey + 10 AS k FROM supplier"
 
 
 @query(f"{_A} UNION ALL {_B}")

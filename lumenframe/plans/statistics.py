@@ -99,6 +99,54 @@ def q_sample_by(t: Tables) -> DataFrame:
     return ordering.sample_by(t.orders, "o_orderstatus", {"F": 0.1, "O": 0.5}, seed=42)
 
 
+_BOUNDS = "SELECT true AS within, true AS subset, true AS repeatable"
+
+
+def _sampled(rows: DataFrame, draw, key: str, low: float, high: float) -> DataFrame:
+    """Whether a sample has a size within bounds (shares of all rows), has only rows of the table, each once, and comes again."""
+    total = rows.count()
+    first, again = (draw(rows).groupBy(key).agg(F.count("*").alias("n")) for _ in range(2))
+    size = F.sum("n")
+    found = first.join(rows.select(key).withColumn("known", F.lit(1)), key, "left").join(again.withColumnRenamed("n", "m"), key, "full_outer")
+    return found.agg(size.between(low * total, high * total).alias("within"), F.every((F.col("n") == 1) & (F.col("known") == 1)).alias("subset"), F.every(F.col("n").eqNullSafe(F.col("m"))).alias("repeatable"))
+
+
+@query(_BOUNDS)
+def q_sample_bounds(t: Tables) -> DataFrame:
+    return _sampled(t.orders, lambda d: ordering.sample(d, 0.1, seed=42), "o_orderkey", 0.05, 0.15)
+
+
+@query(_BOUNDS)
+def q_sample_slice_bounds(t: Tables) -> DataFrame:
+    return _sampled(t.orders, lambda d: ordering.sample(d, 0.5, 0.2, seed=42), "o_orderkey", 0.22, 0.38)
+
+
+@query(_BOUNDS)
+def q_sample_by_bounds(t: Tables) -> DataFrame:
+    return _sampled(t.orders, lambda d: ordering.sample_by(d, "o_orderstatus", {"F": 1.0, "O": 1.0, "P": 0.0}, seed=42), "o_orderkey", 0.5, 1.0)
+
+
+@query("SELECT CAST(l_returnflag AS VARCHAR) AS item FROM lineitem GROUP BY l_returnflag HAVING count(*) > 0.2 * (SELECT count(*) FROM lineitem) UNION ALL SELECT CAST(l_linenumber AS VARCHAR) FROM lineitem GROUP BY l_linenumber HAVING count(*) > 0.2 * (SELECT count(*) FROM lineitem)")
+def q_freq_items_found(t: Tables) -> DataFrame:
+    """The items that are frequent, of those that the sketch names: it may name others, but none may be missing."""
+    names = ["l_returnflag", "l_linenumber"]
+    named = nastat.freq_items(t.lineitem, names, 0.2)
+    counts = t.lineitem.select(F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).cast("string").alias("item")) for c in names))).alias("x")).groupBy("x.of", "x.item").agg(F.count("*").alias("n"))
+    total = t.lineitem.count()
+
+    def tagged(c: str):
+        return F.transform(f"{c}_freqItems", lambda x: F.struct(F.lit(c).alias("of"), x.cast("string").alias("item")))
+
+    items = named.select(F.explode(F.concat(*map(tagged, names))).alias("x")).select("x.*")
+    return items.join(counts.where(F.col("n") > 0.2 * total), ["of", "item"]).select("item")
+
+
+@query("SELECT true AS close")
+def q_approx_distinct_bounds(t: Tables) -> DataFrame:
+    both = t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("b"))
+    return both.select((F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("close"))
+
+
 @query("SELECT count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity FROM lineitem")
 def q_collect_metrics(t: Tables) -> DataFrame:
     seen, metrics = relational.collect_metrics(t.lineitem, "seen", F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))

@@ -56,15 +56,25 @@ def with_initial_state(df: DataFrame, keys: Sequence[str], processor, output: st
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its result as a table in the shared folder.
 
-    append writes files as they come; complete rewrites the result for each batch, so that the last batch holds it.
+    append writes files as they come. complete and update write each batch to a folder of its own, named by its number,
+    so that a batch that is tried again replaces what it wrote before. complete gives the last batch; update all, with
+    their numbers as _batch.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{path}/out").start()
-    elif mode == "complete":
-        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
-    else:
-        query = writer.foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+        writer.format("parquet").option("path", f"{path}/out").start().awaitTermination()
+        return spark.read.parquet(f"{path}/out")
+    numbers: list[int] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={n}")
+        numbers.append(n)
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if not numbers:
+        empty = spark.createDataFrame([], df.schema)
+        return empty if mode == "complete" else empty.withColumn("_batch", F.lit(0))
+    if mode == "complete":
+        return spark.read.schema(df.schema).parquet(f"{path}/out/_batch={max(numbers)}")
+    return spark.read.option("basePath", f"{path}/out").parquet(*(f"{path}/out/_batch={n}" for n in sorted(set(numbers))))

@@ -217,3 +217,70 @@ def test_late_rows_are_dropped(spark, tmp_path):
     counts = streams.tumbling(streams.with_watermark(stream, "ts", "1 hour"), "ts", "1 hour", [], F.count("*").alias("n"))
     done = streams.run_once(counts, "late")
     assert {r.window.start.hour for r in done.collect()} <= {1, 2} and sum(r.n for r in done.collect()) <= 3
+
+
+def test_merge_raises_where_rows_match_twice(spark):
+    from lumenframe.sources import writers
+
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (None, "m")], "k int, v string")
+    with pytest.raises(Exception, match="several source rows"):
+        writers.merge(target, twice, ["k"], update=["v"]).collect()
+    new = spark.createDataFrame([(3, "x"), (3, "y"), (None, "m"), (2, "z")], "k int, v string")
+    got = writers.merge(target, new, ["k"], update=["v"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a"), (2, "z"), (None, "n"), (3, "x"), (3, "y"), (None, "m")], key=str)
+
+
+def test_replaced_table_may_read_itself(spark):
+    from lumenframe.sources import writers
+
+    writers.create_or_replace_table(spark, "lumenframe_self", spark.range(3))
+    writers.create_or_replace_table(spark, "lumenframe_self", spark.table("lumenframe_self").selectExpr("id + 10 AS id"))
+    assert sorted(r.id for r in spark.table("lumenframe_self").collect()) == [10, 11, 12]
+    spark.sql("DROP TABLE lumenframe_self")
+
+
+def test_shared_folder_is_needed_on_clusters():
+    from lumenframe.scratch import check_shared
+
+    check_shared("", "local[4]")
+    check_shared("hdfs:///shared", "yarn")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            check_shared("", master)
+
+
+def test_interval_join_of_long_and_short_spans(spark):
+    spans = spark.createDataFrame([(0.0, 1.0), (5.0, 100000.0), (-300.5, 7.25), (3.0, 3.0), (9.0, 2.0), (99.0, 99.5)], "lo double, hi double")
+    points = spark.createDataFrame([(float(x),) for x in (-300.5, -1, 0, 1, 5, 7, 7.25, 99, 99.5, 99999, 100000)], "p double")
+    got = sorted(map(tuple, joins.interval_join(points, spans, point="p", start="lo", end="hi", width=1.0).collect()))
+    want = sorted((p.p, s.lo, s.hi) for p in points.collect() for s in spans.collect() if s.lo <= p.p < s.hi)
+    assert got == want
+    assert joins.interval_join(points, spans.limit(0), point="p", start="lo", end="hi", width=1.0).count() == 0
+
+
+def test_asof_takes_one_of_equal_times(spark):
+    left = spark.createDataFrame([("k", datetime.datetime(2024, 1, 1, 12))], "k string, t timestamp")
+    right = spark.createDataFrame([("k", datetime.datetime(2024, 1, 1, 12), v) for v in (2, 9, 5)], "k string, t timestamp, v int")
+    for direction, want in (("backward", 9), ("forward", 2)):
+        got = joins.asof(left, right.repartition(3), using=["k"], left_time="t", right_time="t", values=["v"], direction=direction).collect()
+        assert [r.v for r in got] == [want]
+
+
+def test_sort_with_nulls_last(spark):
+    from lumenframe.plans import catalogue
+
+    rows = [(r.k, r.o_orderkey) for r in catalogue.QUERIES["q_sort_nulls"](spark, "/root/testdata/sf0.001").collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0] is None, r[0] or "", -r[1])) and rows[-1][0] is None
+
+
+def test_inferred_schema_of_odd_lines(spark):
+    lines = spark.createDataFrame([('{"a": 1}',), (None,), ('{"a":\n 2, "b": "x"}',), ("",)], "line string")
+    assert readers.infer_json_schema(lines, "line") == "struct<a:bigint,b:string>"
+
+
+def test_stream_without_rows(spark, tmp_path):
+    spark.range(0).selectExpr("id", "cast(id AS timestamp) AS ts").write.parquet(str(tmp_path / "none"))
+    stream = streams.read_files(spark, str(tmp_path / "none"), "id bigint, ts timestamp")
+    for mode in ("complete", "update"):
+        assert streams.run_once(stream.groupBy("id").count(), "none", mode).count() == 0

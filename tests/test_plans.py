@@ -20,7 +20,7 @@ def test_flagship_reads_seven_columns_and_pushes_its_filter(spark):
     assert "partial_sum" in text
 
 
-@pytest.mark.parametrize("name", ["q_topk", "q_sort_nulls", "q_tail"])
+@pytest.mark.parametrize("name", ["q_topk", "q_tail"])
 def test_top_k_is_no_full_sort(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
