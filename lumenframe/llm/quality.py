@@ -129,6 +129,20 @@ def estimate(patterns: dict[tuple[int, ...], int], kinds: list[str], *, prior: f
     return classes, shares, rates
 
 
+def observed_rates(patterns: dict[tuple[int, ...], int], shares: list[float], rates: list[list[float]]) -> list[list[float]]:
+    """P(objects) by class and rule as the votes alone have it under the estimate: without priors and bounds, nan where none vote.
+
+    A good-class rate well above false_objections says that the bound decides about this rule, and not the data.
+    """
+    members = {p: posterior(p, shares, rates) for p in patterns}
+    out = []
+    for c in range(len(shares)):
+        cast = [sum(members[p][c] * n for p, n in patterns.items() if p[r]) for r in range(len(rates[0]))]
+        against = [sum(members[p][c] * n for p, n in patterns.items() if p[r] < 0) for r in range(len(rates[0]))]
+        out.append([a / n if n else math.nan for a, n in zip(against, cast)])
+    return out
+
+
 def posterior(pattern: tuple[int, ...], shares: list[float], rates: list[list[float]]) -> list[float]:
     """Probability of each class given the votes."""
     logs = [math.log(s) + sum(math.log(q if v < 0 else 1 - q) for v, q in zip(pattern, row) if v) for s, row in zip(shares, rates)]

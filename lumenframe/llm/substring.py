@@ -21,7 +21,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     """Each document without the words of windows whose word sequence starts anywhere else, itself included.
 
     Returns doc_id, n_words, spans (array of struct start, end: maximal runs of removed words), kept_text, and the
-    columns of carry under their own names. kept_text joins the kept words by one space; with keep_layout each
+    columns of carry under their own names, or as carried_<name> where the result has a column of that name. kept_text joins the kept words by one space; with keep_layout each
     kept run keeps its text as it was, and a document that loses nothing is returned unchanged.
 
     Rabin-Karp hashes (polynomials modulo 2**64 over mixed word hashes) of all windows are counted by Spark in hash
@@ -89,16 +89,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
                 kept.append(b" ".join(text.as_buffer().to_pybytes().split()).decode())
             else:
                 kept.append(b" ".join(words.data[words.starts[a + i] : words.ends[a + i]] for i in np.flatnonzero(~own)).decode())
-        found = {"doc_id": rows.column("doc_id"), "n_words": words.n_words, "spans": spans, "kept_text": kept} | {c: rows.column(f"carry_{c}") for c in carry}
-        return pa.Table.from_arrays([v.cast(f.type) if isinstance(v, pa.ChunkedArray) else pa.array(v, f.type) for v, f in zip(found.values(), schema)], schema=schema)
+        found = [rows.column("doc_id"), words.n_words, spans, kept, *(rows.column(f"carry_{c}") for c in carry)]
+        return pa.Table.from_arrays([v.cast(f.type) if isinstance(v, pa.ChunkedArray) else pa.array(v, f.type) for v, f in zip(found, schema)], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     out = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("spans", ArrayType(span)), StructField("kept_text", StringType())])
+    own = out.names
     for c in carry:
-        out = out.add(c, docs.schema[c].dataType)
+        out = out.add(f"carried_{c}" if c in own else c, docs.schema[c].dataType)
     schema = to_arrow_schema(out)
     reply = count_levels(blocks, scale, distinct)
     again = count_again(blocks, scale, reply, seem)

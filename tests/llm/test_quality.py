@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+from lumenframe.llm import quality
 from lumenframe.llm.quality import MEASURES, estimate, judge, op5_quality
 
 from .fixtures import documents, odd_texts
@@ -50,3 +51,20 @@ def test_estimate_finds_accuracies():
     classes, shares, rates = estimate(patterns, kinds)
     assert classes == ["good", "a", "b"] and abs(shares[0] - 0.8) < 0.05
     assert abs(rates[1][0] - 0.9) < 0.05 and abs(rates[1][1] - 0.7) < 0.05 and abs(rates[2][2] - 0.85) < 0.1
+
+
+def test_the_corpus_decides_about_one_objection_of_three():
+    """The same votes: good where three rules about a fault object together, bad where each finds cases of its own."""
+    kinds, one = ["a", "a", "a"], (-1, 1, 1)
+    together = quality.estimate({(1, 1, 1): 8_000, (-1, -1, -1): 1_990, one: 10}, kinds)
+    apart = quality.estimate({(1, 1, 1): 8_000, one: 700, (1, -1, 1): 700, (1, 1, -1): 600}, kinds)
+    assert quality.posterior(one, *together[1:])[0] > 0.5 > quality.posterior(one, *apart[1:])[0]
+
+
+def test_observed_rates_show_where_the_bound_decides():
+    patterns = {(1, 1, 1): 9_000, (1, 1, -1): 600, (-1, -1, 1): 400}
+    _, shares, rates = quality.estimate(patterns, ["a", "a", "b"], false_objections=0.2)
+    free = quality.observed_rates(patterns, shares, rates)
+    assert all(0 <= x <= 1 for row in free for x in row) and free[1][0] > 0.9
+    _, shares, rates = quality.estimate(patterns, ["a", "a", "b"])
+    assert rates[0][2] <= 0.005

@@ -76,3 +76,10 @@ def test_few_hash_bits_only_cost_work(spark, monkeypatch):
     rows = odd_texts() + [(20, "a b a b a b c"), (21, "q a b c")]
     got = remove_repeats(documents(spark, rows), window=3).collect()
     assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=str) == brute(rows, 3)
+
+
+def test_carried_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c", "x", 5, 6)], "doc_id bigint, text string, spans string, block int, doc_text int")
+    got = remove_repeats(rows, carry=("spans", "block", "doc_text"))
+    assert got.columns == ["doc_id", "n_words", "spans", "kept_text", "carried_spans", "block", "doc_text"]
+    assert got.select("doc_id", "kept_text", "carried_spans", "block", "doc_text").collect() == [(1, "a b c", "x", 5, 6)]
