@@ -15,6 +15,24 @@ from ..scratch import shared_path, written
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+_caches: dict[str, list[dict]] = {}
+
+
+def worker_cache(kind: str) -> dict:
+    """A dictionary that lives as long as a Python worker serves tasks of that kind (see only)."""
+    found: dict = {}
+    _caches.setdefault(kind, []).append(found)
+    return found
+
+
+def only(kind: str) -> None:
+    """Empties the caches of other kinds: Spark hands its workers round between operators, and all of them share memory."""
+    for other, own in _caches.items():
+        if other != kind:
+            for cache in own:
+                cache.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table of that name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, table
+from .common import materialize, only, ship, table, worker_cache
 from .tokens import tokenizer_path
 
 #: Normalised characters of a chunk; longer texts are cut.
@@ -26,7 +26,7 @@ FAN = 64
 
 _SPACE = "▁"
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?={_SPACE})")
-_vocabularies: dict[str, "Vocabulary"] = {}
+_vocabularies: dict[str, "Vocabulary"] = worker_cache("pieces")
 
 
 class Vocabulary:
@@ -238,6 +238,7 @@ class Vocabulary:
 
 def vocabulary(path: str) -> Vocabulary:
     """The worker's vocabulary of that file."""
+    only("pieces")
     if path not in _vocabularies:
         _vocabularies[path] = Vocabulary(path)
     return _vocabularies[path]

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fresh_path, ship, table, text_bytes
+from .common import fresh_path, ship, table, text_bytes, worker_cache
 
 SHARD = "part int, seq int, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, id_bytes int, dictionary_hash string, doc_ids array<bigint>, doc_tokens array<bigint>, ends array<bigint>, payload binary"
 
 #: Bytes of text that one writing task gets.
 PART_BYTES = 64 << 20
 
-_dictionaries: dict[str, object] = {}
+_dictionaries: dict[str, object] = worker_cache("tokens")
 
 
 def _dictionary(data: bytes):

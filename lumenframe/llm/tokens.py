@@ -6,8 +6,10 @@ import array
 import os
 import re
 
+from .common import only, worker_cache
+
 #: Pieces kept by a Python worker; about 250 bytes each. Later pieces are encoded each time they occur.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 
 #: Latin letters only; for these Python and the tokenizer surely agree on what a letter is.
 _LAST_LATIN = "\u024f"
@@ -17,7 +19,7 @@ _VISIBLE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(
 
 _GAP = re.compile(r"\s\s")
 _ODD = re.compile(r"[^\S \n]")
-_encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
+_encoders: dict[tuple[str, bool], "PieceEncoder"] = worker_cache("tokens")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -104,6 +106,7 @@ class PieceEncoder:
 
 def encoder(path: str, specials_as_text: bool = False) -> PieceEncoder:
     """The worker's encoder for that vocabulary file."""
+    only("tokens")
     if (path, specials_as_text) not in _encoders:
         _encoders[path, specials_as_text] = PieceEncoder(path, specials_as_text)
     return _encoders[path, specials_as_text]

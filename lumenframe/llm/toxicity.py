@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import only, ship, table
 
 _WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that stand in for rare forms of a word.
@@ -227,6 +227,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for b in batches:
             total, scores, spans = [], [], []
             for text in b.column(1):
@@ -246,6 +247,7 @@ def keep_below(docs: DataFrame, model: Model, least: float, *, text_col: str = "
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for b in batches:
             odds = [model.slope * evidence(t.as_py() or "", model)[0] + model.bias for t in b.column(at)]
             yield b.filter(pa.array([1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) < least for x in odds], pa.bool_()))

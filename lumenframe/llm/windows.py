@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes
+from .common import only, ship, text_bytes, worker_cache
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,7 +22,7 @@ _BYTE_BASES, _WORD_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB8
 #: Bytes hashed at a time; a longer word is taken whole.
 _CHUNK = 1 << 19
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = worker_cache("windows")
 
 
 def _power_table(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +47,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool, seed: int = 0):
+        only("windows")
         self.seed = seed
         self.data = b" ".join(texts)
         raw = np.frombuffer(self.data, np.uint8)
@@ -115,6 +116,7 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(scale.blocks)).cast("int").alias("block"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("windows")
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             of = batch.column(0).to_numpy()
@@ -182,6 +184,7 @@ SENT, REPLY = "block int, bucket int, hashes binary, more binary, second binary"
 
 def _total(rows: pa.Table) -> pa.Table:
     """The levels of what the blocks sent to a bucket: for each row a byte for each of its values."""
+    only("windows")
     own, times, second = [], [], []
     for data, more, also in zip(rows.column("hashes"), rows.column("more"), rows.column("second")):
         own.append(_unpacked(data.as_py()))

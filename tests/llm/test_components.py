@@ -21,3 +21,15 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_workers_keep_the_caches_of_one_operator():
+    from lumenframe.llm.common import only, worker_cache
+
+    a, b, c = worker_cache("a"), worker_cache("a"), worker_cache("b")
+    for cache in (a, b, c):
+        cache[1] = 2
+    only("a")
+    assert a == b == {1: 2} and not c
+    only("b")
+    assert not a and not b
