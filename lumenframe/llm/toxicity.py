@@ -132,7 +132,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
     found = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("by"), "text")).alias("least"), F.max("toxic").alias("toxic"))
-    return found.select("doc_id", F.col("least.text").alias("text"), "toxic")
+    return found.select("doc_id", F.col("least.text").alias("text"), "toxic").repartition(32, "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = 8192, least_docs: int = 3, most_features: int = 50_000) -> Model:
@@ -155,9 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = 8192, least_docs: i
 
 def _fit(sample: DataFrame, least_docs: int, most_features: int) -> Model:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(map(_signature, texts), pa.int64()), pa.array(map(_features, texts), pa.list_(pa.string()))], names=["toxic", "signature", "features"])
+        only("toxicity")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):  # the features of a text take much more room than the text
+                b = whole.slice(at, 128)
+                texts = b.column("text").to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(map(_signature, texts), pa.int64()), pa.array(map(_features, texts), pa.list_(pa.string()))], names=["toxic", "signature", "features"])
 
     distinct = sample.mapInArrow(describe, "toxic int, signature bigint, features array<string>").groupBy("toxic", "signature").agg(F.max("features").alias("features"))
     distinct = distinct.persist()
