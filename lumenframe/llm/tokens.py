@@ -17,8 +17,9 @@ _LAST_LATIN = "\u024f"
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _VISIBLE = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
-_GAP = re.compile(r"\s\s")
+#: White space other than space and newline, and the character that marks cuts.
 _ODD = re.compile(r"[^\S \n]")
+_ODD_ASCII = [c for c in map(chr, range(128)) if _ODD.match(c)] + ["\x00"]
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = worker_cache("tokens")
 
 
@@ -80,7 +81,9 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """The text in pieces, or None where it has to be encoded whole."""
-        if "\x00" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text) or (not text.isascii() and _GAP.search(text)):
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _ODD_ASCII):
+            return None
+        if not text.isascii() and _ODD.search(text):
             return None
         if self.added and self.added.search(text):
             return None
